@@ -1,0 +1,286 @@
+"""Same and nearly same texts across data splits: a weighted cosine join between two sides.
+
+Texts are compared as vectors of weighted terms, a term being a word and the number of its occurrence, its weight
+between 1 and sqrt(2), growing with rarity. Two texts are linked when the words to insert, delete or replace are at most an eighth of
+the longer one's words. So at most k = floor(n / 8) of a text's n terms may be missing in its partner, and the dot
+product is at least the squared norm less the k heaviest squared weights. From that follow, with nothing lost:
+
+* maximum-weight and residual-norm pruning: ordered by falling weight, only a prefix of k + 2 terms enters the
+  inverted lists, since what is left after it cannot reach the bound unless two prefix terms agree. The lists are
+  keyed by pairs of prefix terms, so that a list of a frequent term is never walked alone;
+* a length window and a bound on the prefix terms already known to be missing;
+* exact dot products of the candidates, then an exact word edit distance.
+
+Equal texts meet once, as one class: only distinct texts enter the join.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut, spread
+
+#: A pair counts when edits * PART <= words of the longer text.
+PART = 8
+#: Term frequencies are kept by hash bucket: a table of fixed size at any corpus size. It orders terms and weighs them;
+#: a collision makes a term look more frequent and never loses a pair.
+BUCKETS = 1 << 18
+#: Up to so many words the lists are keyed by two terms, from LONG - LONG / 8 on by one term as well (the zone between has both).
+LONG = 64
+
+_WORD = r"[\p{L}\p{M}]+|\p{Nd}+(?:[^\p{L}\p{M}\p{Nd}\s\p{Z}]\p{Nd}+)*"
+
+
+def words(c: Column) -> Column:
+    """Runs of letters, or numbers with the marks between their digits; without case and apostrophes."""
+    bare = F.regexp_replace(F.lower(c), "['‘’ʼ‛`´＇]", "")
+    return F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0))
+
+
+def text_rows(df: DataFrame, name: str, identifier: str, text: str, side: str, *more: str) -> DataFrame:
+    """(side, tbl, id, words, key, more...); rows without any word, null and blank ones among them, are left out."""
+    got = df.select(F.lit(side).alias("side"), F.lit(name).alias("tbl"), F.col(identifier).cast("string").alias("id"), words(F.col(text)).alias("words"), *more)
+    return got.where(F.size("words") > 0).withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "words"))))
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many distinct texts hold a word of each hash bucket; BUCKETS numbers, whatever the corpus."""
+    b = texts.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))).alias("b"))
+    got = b.groupBy("b").count().toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["b"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
+    return out
+
+
+def _terms(flat: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """64-bit terms: the hash of a word mixed with the number of its occurrence in the text."""
+    order = np.lexsort((flat, row))
+    f, r = flat[order], row[order]
+    new = np.r_[True, (f[1:] != f[:-1]) | (r[1:] != r[:-1])]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
+    occ = np.empty(len(f), np.uint64)
+    occ[order] = (np.arange(len(f)) - start).astype(np.uint64)
+    return (flat.view(np.uint64) ^ (occ * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + b.view(np.uint64)
+    x ^= x >> np.uint64(29)
+    return (x * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def _postings(counts: np.ndarray):
+    """For mapInArrow over (key, hashes): one row per list that a text stands in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("hashes")
+            off = h.offsets.to_numpy().astype(np.int64)
+            flat = h.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].astype(np.int64)
+            off = off - off[0]
+            n = np.diff(off)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            term = _terms(flat, row)
+            df = counts[np.mod(flat, BUCKETS)]
+            order = np.lexsort((term, df, row))
+            term = term[order]
+            k = n // PART
+            size = np.minimum(n, k + 2)
+            pos = np.arange(len(term)) - off[:-1][row]
+            keep = pos < size[row]
+            p_off = np.r_[0, np.cumsum(size)]
+            prefix = term[keep]
+            feats, rows = [], []
+            two = n < LONG
+            for j in range(1, int(size[two].max()) if two.any() else 0):
+                ok = np.nonzero(two & (size > j))[0]
+                for i in range(j):
+                    feats.append(_mix(prefix[p_off[ok] + i], prefix[p_off[ok] + j]))
+                    rows.append(ok)
+            one = np.nonzero(n >= LONG - LONG // PART)[0]
+            for i in range(int(k[one].max()) + 1 if len(one) else 0):
+                ok = one[k[one] >= i]
+                feats.append(_mix(prefix[p_off[ok] + i], np.zeros(len(ok), np.int64)))
+                rows.append(ok)
+            if not feats:
+                continue
+            r = np.concatenate(rows)
+            lists = pa.ListArray.from_arrays(pa.array(p_off.astype(np.int32)), pa.array(prefix))
+            take = pa.array(r)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(feats)), batch.column("key").take(take), pa.array(n[r].astype(np.int32)), lists.take(take)],
+                ["feature", "key", "n", "prefix"])
+
+    return run
+
+
+def edits_within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether `most` insertions, deletions and replacements of words turn `a` into `b`."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    far = most + 1
+    old = [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [far] * (len(b) + 1)
+        new[0] = i if i <= most else far
+        best = new[0]
+        for j in range(lo, hi + 1):
+            c = old[j - 1] if x == b[j - 1] else 1 + min(old[j - 1], old[j], new[j - 1])
+            new[j] = c
+            best = min(best, c)
+        if best > most:
+            return False
+        old = new
+    return old[-1] <= most
+
+
+def _verify(counts: np.ndarray, total: int):
+    """For mapInArrow over (e_key, t_key, e_words, t_words, ...hashes): the pairs that hold, with their cosine."""
+    weight = 1.0 + np.log(max(total, 2) / np.clip(counts, 1, None)).clip(0) / np.log(max(total, 2))  # squared, 1..2
+
+    def vectors(col: pa.ListArray):
+        off = col.offsets.to_numpy().astype(np.int64)
+        flat = col.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].astype(np.int64)
+        off = off - off[0]
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        return _terms(flat, row), row, weight[np.mod(flat, BUCKETS)], off
+
+    def needed(row: np.ndarray, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(off)
+        order = np.lexsort((-w, row))
+        pos = np.arange(len(w)) - off[:-1][row]
+        heavy = np.where(pos < (n // PART)[row], w[order], 0.0)
+        norm = np.bincount(row, w, len(n))
+        return norm, norm - np.bincount(row, heavy, len(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.num_rows
+            te, re_, we, oe = vectors(batch.column("e_hashes"))
+            tt, rt, wt, ot = vectors(batch.column("t_hashes"))
+            term, row, w = np.r_[te, tt], np.r_[re_, rt], np.r_[we, wt]
+            order = np.lexsort((term, row))
+            s, r = term[order], row[order]
+            same = np.nonzero((s[1:] == s[:-1]) & (r[1:] == r[:-1]))[0]
+            dot = np.bincount(r[same], w[order][same], m)
+            (norm_e, need_e), (norm_t, need_t) = needed(re_, we, oe), needed(rt, wt, ot)
+            ok = np.nonzero(dot >= np.maximum(need_e, need_t) - 1e-9)[0]
+            e, t = batch.column("e_words"), batch.column("t_words")
+            good = []
+            for i in ok.tolist():
+                a, b = e[i].as_py(), t[i].as_py()
+                if edits_within(a, b, max(len(a), len(b)) // PART):
+                    good.append(i)
+            i = np.array(good, np.int64)
+            cos = dot[i] / np.sqrt(norm_e[i] * norm_t[i])
+            yield pa.RecordBatch.from_arrays([batch.column("e_key").take(pa.array(i)), batch.column("t_key").take(pa.array(i)), pa.array(cos)], ["e_key", "t_key", "cosine"])
+
+    return run
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(e_key, t_key, cosine): every linked pair of distinct texts of side 'e' and side 't', equal texts included.
+
+    `rows` is made of `text_rows` of both sides and should be materialised (`cut`), since it is read several times.
+    """
+    texts = cut(rows.groupBy("key").agg(
+        F.first("words").alias("words"), F.max((F.col("side") == "e").cast("int")).alias("e"), F.max((F.col("side") == "t").cast("int")).alias("t")))
+    counts = bucket_counts(texts)
+    total = texts.count()
+    hashed = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+    def postings(flag: str, p: str) -> DataFrame:
+        long_enough = hashed.where(f"{flag} = 1 and size(words) >= {PART - 1}").select("key", "hashes")
+        got = spread(long_enough).mapInArrow(_postings(counts), "feature long, key binary, n int, prefix array<long>")
+        return got.select("feature", *[F.col(c).alias(f"{p}_{c}") for c in ("key", "n", "prefix")])
+
+    both = postings("e", "e").join(postings("t", "t"), "feature")
+    both = both.where(f"e_key != t_key and abs(e_n - t_n) <= greatest(e_n, t_n) div {PART}")
+    common = F.array_intersect("e_prefix", "t_prefix")
+    both = both.withColumn("common", common).where(
+        f"size(e_prefix) - size(common) <= e_n div {PART} or size(t_prefix) - size(common) <= t_n div {PART}")
+    # A pair meets in several lists; it is kept in that of its first common terms, so no shuffle removes repeats.
+    first_two = both.mapInArrow(_first_list, "e_key binary, t_key binary")
+    we = hashed.select(F.col("key").alias("e_key"), F.col("words").alias("e_words"), F.col("hashes").alias("e_hashes"))
+    wt = hashed.select(F.col("key").alias("t_key"), F.col("words").alias("t_words"), F.col("hashes").alias("t_hashes"))
+    near = first_two.join(we.where("e = 1"), "e_key").join(wt.where("t = 1"), "t_key").mapInArrow(_verify(counts, total), "e_key binary, t_key binary, cosine double")
+    equal = texts.where("e = 1 and t = 1").select(F.col("key").alias("e_key"), F.col("key").alias("t_key"), F.lit(1.0).alias("cosine"))
+    return near.unionByName(equal)
+
+
+def _first_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps a candidate in the list of its first common prefix terms only (first term, for a list keyed by one)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = batch.column("common")
+        off = c.offsets.to_numpy().astype(np.int64)
+        flat = c.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.diff(off)
+        a = flat[off[:-1]]
+        b = np.where(size > 1, flat[np.minimum(off[:-1] + 1, len(flat) - 1)], 0)
+        two = (batch.column("e_n").to_numpy() < LONG) & (batch.column("t_n").to_numpy() < LONG)
+        feature = batch.column("feature").to_numpy()
+        ok = np.where(two, _mix(a, b) == feature, _mix(a, np.zeros_like(a)) == feature)
+        i = pa.array(np.nonzero(ok)[0])
+        yield pa.RecordBatch.from_arrays([batch.column("e_key").take(i), batch.column("t_key").take(i)], ["e_key", "t_key"])
+
+
+def split_rows(claims: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """The texts of both sides: evaluation ('e') and training ('t'), each with its split and source."""
+    src = lambda df, split: df.withColumn("split", split).withColumn("source", F.coalesce("source", F.lit("")))
+    held = src(claims.where("split in ('validation', 'test')"), F.col("split"))
+    train = src(claims.where("split = 'train'"), F.col("split"))
+    golden, fact = src(candidates, F.lit("golden")), src(facts, F.lit("facts"))
+    parts = [
+        text_rows(golden, "golden_candidates_v0", "id", "original_text", "e", "split", "source"),
+        text_rows(held, "final_health_claims", "claim_id", "claim", "e", "split", "source"),
+        text_rows(train, "final_health_claims", "claim_id", "claim", "t", "split", "source"),
+        text_rows(fact, "verified_facts", "fact_id", "scientific_truth", "t", "split", "source"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def overlap_pairs(claims: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """(eval_table, eval_id, train_table, train_id): every pair of an evaluation and a training record that overlap.
+
+    Null splits, null and blank texts take no part; an empty side gives no rows; repeated texts pair row by row.
+    """
+    rows = cut(split_rows(claims, candidates, facts))
+    e = rows.where("side = 'e'").select(F.col("key").alias("e_key"), F.col("tbl").alias("eval_table"), F.col("id").alias("eval_id"))
+    t = rows.where("side = 't'").select(F.col("key").alias("t_key"), F.col("tbl").alias("train_table"), F.col("id").alias("train_id"))
+    return links(rows).join(e, "e_key").join(t, "t_key").select("eval_table", "eval_id", "train_table", "train_id")
+
+
+def overlap_counts(claims: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Overlaps per evaluation split and source and per training table: evaluation records touched, and record pairs.
+
+    Counted by classes of equal texts: no pair is expanded.
+    """
+    rows = cut(split_rows(claims, candidates, facts))
+    e = rows.where("side = 'e'").groupBy(F.col("key").alias("e_key"), "tbl", "split", "source").agg(F.count(F.lit(1)).alias("e_rows"))
+    t = rows.where("side = 't'").groupBy(F.col("key").alias("t_key"), F.col("tbl").alias("train_table")).agg(F.count(F.lit(1)).alias("t_rows"))
+    per = links(rows).join(t, "t_key").groupBy("e_key", "train_table").agg(F.sum("t_rows").alias("partners"))
+    got = e.join(per, "e_key").groupBy(F.col("tbl").alias("eval_table"), "split", "source", "train_table")
+    return got.agg(F.sum("e_rows").alias("eval_records"), F.sum(F.col("e_rows") * F.col("partners")).alias("pairs"))

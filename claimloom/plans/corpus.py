@@ -1,0 +1,24 @@
+"""Queries of the general corpus operators: copies (p2) and overlaps across splits (p3)."""
+
+from __future__ import annotations
+
+from ..operators import copies, overlap
+from ..sources.tables import text_table
+
+
+def _splits(spark, d):
+    return (text_table(spark, d, "final_health_claims", "claim_id", "claim", "split", "source"),
+            text_table(spark, d, "golden_candidates_v0", "id", "original_text", "source"),
+            text_table(spark, d, "verified_facts", "fact_id", "scientific_truth", "source"))
+
+
+def _both(spark, d):
+    return text_table(spark, d, "final_health_claims", "claim_id", "claim", "label"), text_table(spark, d, "claim_records", "record_id", "record")
+
+
+QUERIES = {
+    "p2_found": lambda s, d: copies.table_copies(*_both(s, d)),
+    "p2_groups": lambda s, d: copies.table_groups(*_both(s, d)),
+    "p3_found": lambda s, d: overlap.overlap_pairs(*_splits(s, d)),
+    "p3_split_source": lambda s, d: overlap.overlap_counts(*_splits(s, d)),
+}
