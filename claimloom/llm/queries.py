@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table, text_table
-from . import byte_bpe, leaks, lookalikes
+from . import byte_bpe, languages, leaks, lookalikes
 
 _FIELDS = ["original_text", "canonical_indic_text"]
 
@@ -16,9 +16,16 @@ def _documents(spark, d):
     return text_table(spark, d, "documents", "doc_id", "text")
 
 
+def _labelled(spark, d):
+    return (text_table(spark, d, "canonical_claims", "claim_ref", "original_text", "language"),
+            text_table(spark, d, "multilingual_claims", "claim_key", "original_text", "source_language"))
+
+
 QUERIES = {
     "p1_found": lambda s, d: lookalikes.same_look(_multilingual(s, d), "claim_key", _FIELDS),
     "p1_canonical": lambda s, d: lookalikes.canonical(_multilingual(s, d), "claim_key", _FIELDS),
+    "p5_found": lambda s, d: languages.wrong_labels(*_labelled(s, d)),
+    "p5_languages": lambda s, d: languages.claim_languages(*_labelled(s, d)).drop("label"),
     "p6_ids": lambda s, d: byte_bpe.encode(_documents(s, d), "doc_id", "text"),
     "p7_found": lambda s, d: leaks.leaked_items(_documents(s, d), table(s, d, "eval_items")),
     "p7_spans": lambda s, d: leaks.leak_spans(_documents(s, d), table(s, d, "eval_items")),
