@@ -303,10 +303,13 @@ class Segmenter:
 
 
 def model_of(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows (id, text, label): counts over all of them, centroids from `train_rows` labelled ones."""
+    """A model from rows (tbl, id, text, label): counts over all of them, centroids from about `train_rows` labelled ones."""
     counts = bucket_counts(rows)
     known = rows.where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
-    got = known.select("text", "label", F.xxhash64("id", "text").alias("h")).orderBy("h").limit(train_rows).collect()
+    n = known.count()
+    if n > train_rows:  # a share of about `train_rows` rows, by hash
+        known = known.where(F.pmod(F.xxhash64("id", "tbl"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    got = known.select("text", "label").collect()
     texts = canonical_array(pa.array([r.text for r in got], pa.string())).to_pylist()
     return fit(list(zip(texts, [r.label for r in got], strict=True)), counts)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table, text_table
-from . import byte_bpe, languages, leaks, lookalikes
+from . import byte_bpe, languages, leaks, lookalikes, subjects
 
 _FIELDS = ["original_text", "canonical_indic_text"]
 
@@ -21,6 +21,10 @@ def _labelled(spark, d):
             text_table(spark, d, "multilingual_claims", "claim_key", "original_text", "source_language"))
 
 
+def _subjects(spark, d):
+    return _documents(spark, d), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")
+
+
 QUERIES = {
     "p1_found": lambda s, d: lookalikes.same_look(_multilingual(s, d), "claim_key", _FIELDS),
     "p1_canonical": lambda s, d: lookalikes.canonical(_multilingual(s, d), "claim_key", _FIELDS),
@@ -30,5 +34,7 @@ QUERIES = {
     "p7_found": lambda s, d: leaks.leaked_items(_documents(s, d), table(s, d, "eval_items")),
     "p7_spans": lambda s, d: leaks.leak_spans(_documents(s, d), table(s, d, "eval_items")),
     "p7_report": lambda s, d: leaks.leak_report(_documents(s, d), table(s, d, "eval_items")),
+    "p8_found": lambda s, d: subjects.document_areas(*_subjects(s, d)).select("doc_id", "area"),
+    "p8_areas": lambda s, d: subjects.corpus_by_area(*_subjects(s, d)),
 }
 ORACLE: dict[str, str] = {}
