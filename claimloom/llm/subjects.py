@@ -3,7 +3,7 @@
 Complement naive Bayes over hashed words and word pairs, trained from labelled documents and refined by
 expectation-maximization over all documents, sentence by sentence: a sentence's posterior combines its own words with
 the areas of its document, so that what stands in documents of every area stays without weight. Each area's posterior
-is then calibrated by itself from the corpus. A sentence belongs to its best area if that posterior reaches one half.
+is then calibrated by itself from the corpus. A sentence belongs to its best area if that posterior reaches SURE.
 A document deals with an area that at least a fifth of its sentences with an area belong to.
 """
 
@@ -31,6 +31,8 @@ OWN = 0.3
 PART = 5
 #: Words that a line without an end mark needs to pass for a sentence; headings have fewer.
 LINE_WORDS = 7
+#: Posterior from which a sentence belongs to an area.
+SURE = 0.7
 _BINS, _LOW, _HIGH = 80, -20.0, 60.0
 _MEMO = 500_000
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|[.!?।]+(?=[\"”’»)]*(?:\s|$))|\n+")
@@ -287,7 +289,7 @@ def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataF
             for at in range(0, b.num_rows, 4096):
                 chunk = b.slice(at, 4096)
                 doc, area, p = c.sentences(chunk.column(1).to_pylist(), words)
-                sure = p >= 0.5
+                sure = p >= SURE
                 key = doc[sure] * k + area[sure]
                 n = np.bincount(key, minlength=chunk.num_rows * k).reshape(-1, k)
                 q = np.bincount(key, p[sure], chunk.num_rows * k).reshape(-1, k)
