@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table, text_table
-from . import byte_bpe, languages, leaks, lookalikes, subjects
+from . import byte_bpe, languages, leaks, lookalikes, scans, subjects
 
 _FIELDS = ["original_text", "canonical_indic_text"]
 
@@ -21,6 +21,10 @@ def _labelled(spark, d):
             text_table(spark, d, "multilingual_claims", "claim_key", "original_text", "source_language"))
 
 
+def _scans(spark, d):
+    return text_table(spark, d, "image_ingestion", "raw_input_id", "extracted_text", "ocr_confidence", "metadata")
+
+
 def _subjects(spark, d):
     return _documents(spark, d), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")
 
@@ -28,6 +32,8 @@ def _subjects(spark, d):
 QUERIES = {
     "p1_found": lambda s, d: lookalikes.same_look(_multilingual(s, d), "claim_key", _FIELDS),
     "p1_canonical": lambda s, d: lookalikes.canonical(_multilingual(s, d), "claim_key", _FIELDS),
+    "p4_found": lambda s, d: scans.defects(_scans(s, d)),
+    "p4_repaired": lambda s, d: scans.repaired(_scans(s, d)),
     "p5_found": lambda s, d: languages.wrong_labels(*_labelled(s, d)),
     "p5_languages": lambda s, d: languages.claim_languages(*_labelled(s, d)).drop("label"),
     "p6_ids": lambda s, d: byte_bpe.encode(_documents(s, d), "doc_id", "text"),
