@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import W, any_contained, any_word, count_contained
+from .text import S, W, any_contained, any_word, count_contained, squeeze
 
 
 def _cap(n: Column, each: float, most: float) -> Column:
@@ -14,7 +14,7 @@ def _cap(n: Column, each: float, most: float) -> Column:
 
 
 def _causal(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"(?i)(?<!{W})(?:{lx.CAUSAL_VERBS})(?!{W})\s+{W}+"))
+    return F.regexp_count(c, F.lit(rf"(?i)(?<!{W})(?:{lx.CAUSAL_VERBS})(?!{W}){S}+{W}+"))
 
 
 def style_signals(c: Column) -> dict[str, Column]:
@@ -24,9 +24,9 @@ def style_signals(c: Column) -> dict[str, Column]:
     ratio = F.try_divide(upper, filled)
     shouted = F.regexp_count(c, F.lit(rf"(?<!{W})[A-Z]{{3,}}(?!{W})"))
     marks = F.regexp_count(c, F.lit("!!+")) + F.regexp_count(c, F.lit(r"\?\?+"))
-    n = F.size(F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " "))
+    n = F.size(F.split(squeeze(c), " "))
     causal = _causal(c)
-    chain = F.regexp_count(c, F.lit(rf"(?i)(?<!{W}){W}+\s+(?:{lx.CHAIN_FIRST})\s+{W}+\s+(?:{lx.CHAIN_SECOND})\s+{W}+"))
+    chain = F.regexp_count(c, F.lit(rf"(?i)(?<!{W}){W}+{S}+(?:{lx.CHAIN_FIRST}){S}+{W}+{S}+(?:{lx.CHAIN_SECOND}){S}+{W}+"))
     return {
         "uppercase": F.least(F.when(ratio > 0.5, 0.35).when(ratio > 0.15, 0.20).otherwise(0.0) + F.when(shouted >= 3, 0.20).when(shouted >= 1, 0.10).otherwise(0.0), F.lit(0.40)),
         "punctuation": F.when(marks >= 3, 0.30).when(marks == 2, 0.20).when(marks == 1, 0.10).otherwise(0.0),

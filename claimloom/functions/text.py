@@ -16,8 +16,18 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({W}+)"), F.lit(1))
 
 
+#: White space of any kind.
+S = r"[\s\p{Z}]"
+
+
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"{S}+", " "))
+
+
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(c, f"^{S}+|{S}+$", "")
 
 
 def replace_phrases(c: Column, phrases: list[tuple[str, str]] | None = None) -> Column:
@@ -42,7 +52,7 @@ def clean_claim(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, single blanks, runs of ! and ? as one !."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), "[!?]{2,}", "!"))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), f"{S}+", " "), "[!?]{2,}", "!"))
 
 
 def plain_terms(c: Column) -> Column:
@@ -53,7 +63,7 @@ def plain_terms(c: Column) -> Column:
 
 def article_text(c: Column) -> Column:
     """Lines of an article worth keeping: long ones, without page noise unless they state a result."""
-    lines = F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(c, r"\r\n|\r|\n"), strip)
     kept = F.filter(lines, lambda x: (F.length(x) >= 35) & (~x.rlike(f"(?i)({lx.PAGE_NOISE})") | x.rlike(f"(?i)({lx.PAGE_KEEP})")))
     return F.array_join(kept, "\n")
 
@@ -100,13 +110,13 @@ def basic_language(c: Column) -> Column:
 
 def is_hinglish(c: Column) -> Column:
     """At least two romanised Hindi words and two plain Latin words."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
+    w = F.split(squeeze(F.lower(c)), " ")
     return (F.size(F.filter(w, lambda x: x.isin(*lx.HINDI_ROMAN))) >= 2) & (F.size(F.filter(w, lambda x: x.rlike("^[a-z]+$"))) >= 2)
 
 
 def sub_claims(c: Column) -> Column:
     """The parts of a cleaned claim between and, aur, evam; the claim itself if nothing is left."""
-    parts = F.filter(F.transform(F.split(c, rf"(?<!{W})(?:and|aur|evam)(?!{W})"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, rf"(?<!{W})(?:and|aur|evam)(?!{W})"), strip), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
 
 
