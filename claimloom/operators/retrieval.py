@@ -45,7 +45,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     q = sized(cut(q.join(idf, "term")))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit((avgdl or 0) / max(n, 1))))
-    hits = index.join(q, "term").groupBy("qid", "pid").agg(F.sum(part).alias("score"))
+    hits = index.join(q, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 9).alias("score"))
     top = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("pid"))
     best = cut(hits.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k))
     asked = queries.where(F.size(words(F.col("text"))) > 0).select("qid")

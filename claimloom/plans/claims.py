@@ -199,10 +199,16 @@ passages AS (SELECT * FROM p1 WHERE length(passage) >= 20 AND NOT (upper(passage
 QUERIES["passage_extract"] = lambda s, d: passages(s, d).select("doc_id", "line_no", "passage")
 ORACLE["passage_extract"] = f"WITH {PASSAGES} SELECT doc_id, line_no, passage FROM passages"
 
-_SUB = F.element_at(F.array(*[F.lit(x) for x in ("", "vaccine", "child", "the")]), (F.col("doc_id") % 4).cast("int") + 1)
-_OUT = F.element_at(F.array(*[F.lit(x) for x in ("", "sleep", "said")]), (F.col("doc_id") % 3).cast("int") + 1)
-_POP = F.element_at(F.array(*[F.lit(x) for x in ("", "pregnant women", "the infant", "school lunch")]), (F.col("line_no") % 4).cast("int") + 1)
-QUERIES["passage_quality"] = lambda s, d: passages(s, d).select("doc_id", "line_no", F.round(sc.passage_quality(F.col("passage"), _SUB, _OUT, _POP), 4).alias("quality"), sc.file_tier(F.col("file_name")).alias("tier"), sc.text_tier(F.col("passage")).alias("named_tier"))
+
+
+def _quality(s, d):
+    pick = lambda c, n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(c) % n).cast("int") + 1)
+    sub, out = pick("doc_id", 4, "", "vaccine", "child", "the"), pick("doc_id", 3, "", "sleep", "said")
+    pop = pick("line_no", 4, "", "pregnant women", "the infant", "school lunch")
+    return passages(s, d).select("doc_id", "line_no", F.round(sc.passage_quality(F.col("passage"), sub, out, pop), 4).alias("quality"), sc.file_tier(F.col("file_name")).alias("tier"), sc.text_tier(F.col("passage")).alias("named_tier"))
+
+
+QUERIES["passage_quality"] = _quality
 _rec = f"coalesce(try_cast(nullif(regexp_extract(passage, '(?:^|[^{_w[1:-1]}])((?:19|20)[0-9][0-9])(?:$|[^{_w[1:-1]}])', 1), '') AS INT), 2020)"
 ORACLE["passage_quality"] = f"""WITH {PASSAGES}, x AS (SELECT *, ['', 'vaccine', 'child', 'the'][(doc_id % 4)::INT + 1] AS sub, ['', 'sleep', 'said'][(doc_id % 3)::INT + 1] AS obj, ['', 'pregnant women', 'the infant', 'school lunch'][(line_no % 4)::INT + 1] AS pop, lower(passage) AS low, greatest(0, 2026 - {_rec}) AS age FROM passages),
 y AS (SELECT *, sub = '' OR contains(low, sub) AS s, obj = '' OR contains(low, obj) AS o FROM x)
