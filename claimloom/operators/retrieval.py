@@ -47,13 +47,13 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit((avgdl or 0) / max(n, 1))))
     hits = index.join(q, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 9).alias("score"))
     top = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("pid"))
-    best = cut(hits.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k))
+    ranked = lambda x: x.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    best = cut(ranked(hits.where("score != 0")))
     asked = queries.where(F.size(words(F.col("text"))) > 0).select("qid")
-    short = asked.join(best.groupBy("qid").agg(F.count(F.lit(1)).alias("had")), "qid", "left").na.fill(0).where(F.col("had") < k)
+    short = asked.join(best.where("score > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("had")), "qid", "left").na.fill(0).where(F.col("had") < k)
     last = passages.select("pid").orderBy(F.desc("pid")).limit(2 * k)  # a query short of k hits finds its fill among these
-    fill = short.crossJoin(F.broadcast(last)).join(best.select("qid", "pid"), ["qid", "pid"], "left_anti")
-    fill = fill.select("qid", "pid", F.lit(0.0).alias("score"), (F.col("had") + F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("pid")))).cast("int").alias("rank"))
-    return best.unionByName(fill.where(F.col("rank") <= k))
+    fill = short.crossJoin(F.broadcast(last)).join(best.select("qid", "pid"), ["qid", "pid"], "left_anti").select("qid", "pid", F.lit(0.0).alias("score"))
+    return ranked(best.drop("rank").unionByName(fill))
 
 
 def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -32,8 +32,8 @@ def bm25_sql(name: str, q: str, k: int) -> str:
 {n}d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {n}i, {n}n GROUP BY term, n), {n}f AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {n}d) ELSE raw END AS idf FROM {n}d),
 {n}q AS (SELECT qid, t AS term, count(*) AS qn FROM (SELECT qid, unnest({S.words('text')}) AS t FROM {q}) GROUP BY 1, 2),
 {n}s AS (SELECT qid, pid, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM {n}i JOIN {n}q USING (term) JOIN {n}f USING (term), {n}n GROUP BY 1, 2),
-{n}a AS (SELECT x.qid, p.pid, coalesce(s.score, 0) AS score, s.score IS NOT NULL AS hit FROM (SELECT DISTINCT qid FROM {n}q) x CROSS JOIN p LEFT JOIN {n}s s ON s.qid = x.qid AND s.pid = p.pid),
-{n} AS (SELECT * FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY hit DESC, score DESC, pid DESC)::INT AS rank FROM {n}a) WHERE rank <= {k})"""
+{n}a AS (SELECT x.qid, p.pid, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT qid FROM {n}q) x CROSS JOIN p LEFT JOIN {n}s s ON s.qid = x.qid AND s.pid = p.pid),
+{n} AS (SELECT * FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid DESC)::INT AS rank FROM {n}a) WHERE rank <= {k})"""
 
 
 QUERIES["bm25_topk"] = lambda s, d: retrieval.bm25(queries(s, d), facts(s, d), 5).select("qid", "pid", F.round("score", 6).alias("score"), "rank")
