@@ -244,13 +244,15 @@ class Segmenter:
         conf = share.max(1) / np.maximum(share.sum(1), 1e-9)
         ok = top >= REJECT
         seg_row, best, conf = seg_row[ok], best[ok], conf[ok]
+        if not len(seg_row):
+            return seg_row, seg_row, seg_row, conf
         same = np.r_[False, (best[1:] == best[:-1]) & (seg_row[1:] == seg_row[:-1])]
         group = np.cumsum(~same) - 1
         first = np.nonzero(~same)[0]
-        conf = np.bincount(group, conf) / np.bincount(group) if len(group) else conf
+        conf = np.bincount(group, conf) / np.bincount(group)
         seg_row, best = seg_row[first], best[first]
-        start = np.r_[True, seg_row[1:] != seg_row[:-1]] if len(seg_row) else np.empty(0, bool)
-        order = np.arange(len(seg_row)) - np.maximum.accumulate(np.where(start, np.arange(len(seg_row)), 0)) + 1 if len(seg_row) else seg_row
+        start = np.r_[True, seg_row[1:] != seg_row[:-1]]
+        order = np.arange(len(seg_row)) - np.maximum.accumulate(np.where(start, np.arange(len(seg_row)), 0)) + 1
         return seg_row, order, langs[best], conf
 
     def table_of(self, lists: list[list[str]]) -> np.ndarray:
@@ -306,6 +308,7 @@ def model_of(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from rows (tbl, id, text, label): counts over all of them, centroids from about `train_rows` labelled ones."""
     counts = bucket_counts(rows)
     known = rows.where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
+    known = known.where((F.col("label") != "hi") | F.col("text").rlike(r"\p{IsDevanagari}"))  # else the label may stand for Latin letters
     n = known.count()
     if n > train_rows:  # a share of about `train_rows` rows, by hash
         known = known.where(F.pmod(F.xxhash64("id", "tbl"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))

@@ -194,7 +194,10 @@ class Channel:
         self.memo: dict[str, list[tuple[str, float]]] = {}
 
     def _purify(self) -> None:
-        """Confusion probabilities from words that a far more usual word explains; those words leave the model."""
+        """Confusion probabilities from words that a far more usual word explains; those words leave the model.
+
+        Of short words a pair alike by chance is likelier, so the usual one must be more so.
+        """
         seen, might = Counter(), Counter()
         for w, n in self.words.items():
             if w != _NUM:
@@ -206,7 +209,7 @@ class Channel:
             if w == _NUM:
                 continue
             best = max(((self.words.get(v, 0), how) for v, how in inverse(w, 1).items()), default=(0, ()), key=lambda x: x[0])
-            if best[0] >= (3 if _ODD.search(w) else 25) * n:
+            if best[0] >= (3 if _ODD.search(w) else 8 if len(w) >= 6 else 25) * n:
                 wrong[w] = best[1][0]
                 seen[best[1][0]] += n
         self.chance = {c: (seen[c] + PRIOR * 50) / (might[c[0]] + 50) for c in CONFUSIONS}
@@ -263,7 +266,7 @@ class Channel:
         s = shape(v)
         n = self.words.get(s, 0)
         p = n / self.total if n else (_NAME if name else _UNKNOWN)
-        if u is not None:
+        if u is not None and n:
             m = self.words.get(u, 0)
             if m:
                 p = (1 - PAIRS) * p + PAIRS * self.pairs.get((u, s), 0) / m

@@ -31,6 +31,8 @@ OWN = 0.3
 PART = 5
 #: Words that a line without an end mark needs to pass for a sentence; headings have fewer.
 LINE_WORDS = 7
+#: In training, a document with more sentences than this counts as one with so many: no long text outweighs the corpus.
+FULL = 50
 #: Posterior from which a sentence belongs to an area.
 SURE = 0.7
 _BINS, _LOW, _HIGH = 80, -20.0, 60.0
@@ -153,8 +155,9 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *[pa.array(total[i, k]) for k in range(total.shape[1])]], ["b", *[f"a{k}" for k in range(total.shape[1])]])
 
 
-def _count(f: np.ndarray, start: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
+def _count(f: np.ndarray, start: np.ndarray, doc: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
     n = np.diff(np.r_[start, len(f)])
+    p = p * np.minimum(1.0, FULL / np.bincount(doc)[doc])[:, None]
     for a in range(p.shape[1]):
         total[:, a] += np.bincount(f, np.repeat(p[:, a], n), DIM)
 
@@ -176,7 +179,7 @@ def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most
             share = share / np.maximum(share.sum(1, keepdims=True), 1e-9)
             f, start, doc = features(b.column(0).to_pylist(), words)
             if len(f):
-                _count(f, start, share[doc], total)
+                _count(f, start, doc, share[doc], total)
         yield _emit(total)
 
     return _sums(got, run, len(areas), DIM)
@@ -193,7 +196,7 @@ def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
                 part = b.slice(k, 4096)
                 f, start, doc = features(part.column(0).to_pylist(), words)
                 if len(f):
-                    _count(f, start, _posterior(_scores(w, f, start), doc, part.num_rows), total)
+                    _count(f, start, doc, _posterior(_scores(w, f, start), doc, part.num_rows), total)
         yield _emit(total)
 
     return _sums(documents.select("text"), run, areas, DIM)
@@ -216,10 +219,11 @@ def calibrate(documents: DataFrame, w: np.ndarray) -> np.ndarray:
                     continue
                 s = _scores(w, f, start)
                 p = _posterior(s, doc, part.num_rows)
+                weight = np.minimum(1.0, FULL / np.bincount(doc)[doc])
                 i = np.clip(((s - _LOW) / (_HIGH - _LOW) * _BINS).astype(int), 0, _BINS - 1)
                 for a in range(areas):
-                    total[:_BINS, a] += np.bincount(i[:, a], minlength=_BINS)
-                    total[_BINS:, a] += np.bincount(i[:, a], p[:, a], _BINS)
+                    total[:_BINS, a] += np.bincount(i[:, a], weight, _BINS)
+                    total[_BINS:, a] += np.bincount(i[:, a], p[:, a] * weight, _BINS)
         yield _emit(total)
 
     got = _sums(documents.select("text"), run, areas, 2 * _BINS)
@@ -280,6 +284,9 @@ def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataF
     repeated document comes out once for each of its rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = "doc_id long, area string, sentences int, share double, posterior double"
+    if subject_areas.where("area is not null").limit(1).count() == 0:
+        return docs.sparkSession.createDataFrame([], out)
     c = train(docs, labels, subject_areas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +306,7 @@ def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataF
                     [chunk.column(0).take(pa.array(d)), pa.array(names[a].tolist(), pa.string()), pa.array(n[d, a].astype(np.int32)), pa.array(n[d, a] / total[d, 0]), pa.array(q[d, a] / n[d, a])],
                     ["doc_id", "area", "sentences", "share", "posterior"])
 
-    return docs.mapInArrow(run, "doc_id long, area string, sentences int, share double, posterior double")
+    return docs.mapInArrow(run, out)
 
 
 def corpus_by_area(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame) -> DataFrame:
