@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,49 +12,93 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions.text import words
-from ..session import broadcast_limit, cut
+from ..session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors of a query block: what one pass over the base compares with.
 BLOCK = 4096
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """`df` marked for broadcast only if its rows, counted, are few."""
-    return F.broadcast(df) if df.limit(broadcast_limit(df.sparkSession) + 1).count() <= broadcast_limit(df.sparkSession) else df
-
-
-def postings(passages: DataFrame) -> DataFrame:
-    """(pid, term, tf, dl) of passages (pid, text): the inverted index."""
-    w = passages.select("pid", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return w.select("pid", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_weights(passages: DataFrame) -> DataFrame:
+    """(term, df, idf) of passages (pid, text), over all of them (A25): a term in more than half weighs EPSILON of the mean."""
+    n = passages.count()
+    w = passages.select("pid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))
+    return df.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row broadcast
+
+
+def _score(ids: np.ndarray, weights: dict[str, tuple[np.ndarray, np.ndarray]], avgdl: float, k: int):
+    """For mapInArrow over (pid, words): the k best passages of each batch for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: j for j, t in enumerate(weights)}
+        queries = list(weights.values())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                order = np.argsort(-part.column(0).to_numpy().astype(np.int64), kind="stable")
+                pids = part.column(0).to_numpy().astype(np.int64)[order]
+                lists = part.column(1).to_pylist()
+                score = np.zeros((len(pids), len(ids)))
+                by: dict[int, tuple[list[int], list[float]]] = {}
+                for row, source in enumerate(order.tolist()):
+                    ws = lists[source] or []
+                    norm = K1 * (1 - B + B * len(ws) / avgdl) if ws else 1.0
+                    for t, tf in Counter(ws).items():
+                        j = number.get(t)
+                        if j is not None:
+                            r, v = by.setdefault(j, ([], []))
+                            r.append(row)
+                            v.append(tf * (K1 + 1) / (tf + norm))
+                for j, (r, v) in by.items():
+                    q, w = queries[j]
+                    score[np.array(r)[:, None], q] += np.array(v)[:, None] * w
+                score = np.round(score, 9)
+                m = min(k, len(pids))
+                best = np.argsort(-score, axis=0, kind="stable")[:m]  # rows stand by falling pid: of ties the higher comes first
+                q = np.broadcast_to(ids, best.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(pids[best].ravel()), pa.array(np.take_along_axis(score, best, 0).ravel())], ["qid", "pid", "score"])
+
+    return run
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """(qid, pid, score, rank): the k best passages of each query (J5, W1), filled up with passages of score 0 (Q8).
+    """(qid, pid, score, rank): the k best passages of each query (J5, W1), passages of score 0 among them (Q8).
 
-    Ties go to the higher pid. A term in more than half of the passages weighs EPSILON of the mean. Repeated query terms
-    count as often as they occur; queries without words have no rows.
+    Ties go to the higher pid. Repeated query terms count as often as they occur; queries without words have no rows.
+    The passages stay where they are: queries come in blocks of bounded size, each task scores its passages and keeps
+    its k best of each query, and only those are shuffled.
     """
-    index = cut(postings(passages))
-    n = passages.count()
-    avgdl = index.select("pid", "dl").distinct().agg(F.sum("dl")).first()[0]
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = df.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row broadcast
-    q = queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-    q = sized(cut(q.join(idf, "term")))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit((avgdl or 0) / max(n, 1))))
-    hits = index.join(q, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 9).alias("score"))
+    texts = cut(passages.select(F.col("pid").cast("long").alias("pid"), words(F.col("text")).alias("w")))
+    avgdl = texts.agg(F.avg(F.coalesce(F.size("w"), F.lit(0)))).first()[0]
+    schema = "qid long, pid long, score double"
+    if not avgdl:
+        return texts.sparkSession.createDataFrame([], schema + ", rank int")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    q = asked.select("qid", F.explode("w").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn")).join(term_weights(passages), "term")
+    known = q.groupBy("qid").agg(F.collect_list(F.struct("term", (F.col("qn") * F.col("idf")).alias("weight"))).alias("terms"))  # the words of one query
+    block = cut(asked.select("qid").distinct().join(known, "qid", "left"))
+    parts = max(1, -(-block.count() // BLOCK))
+    texts = spread(texts)
+    out = None
+    for p in range(parts):
+        rows = (block.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p) if parts > 1 else block).collect()
+        if not rows:
+            continue
+        lists: dict[str, tuple[list[int], list[float]]] = {}
+        for j, r in enumerate(rows):
+            for t in r.terms or ():
+                a, b = lists.setdefault(t.term, ([], []))
+                a.append(j)
+                b.append(t.weight)
+        weights = {t: (np.array(a), np.array(b)) for t, (a, b) in lists.items()}
+        got = texts.mapInArrow(_score(np.array([r.qid for r in rows], np.int64), weights, float(avgdl), k), schema)
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return texts.sparkSession.createDataFrame([], schema + ", rank int")
     top = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("pid"))
-    ranked = lambda x: x.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-    best = cut(ranked(hits.where("score != 0")))
-    asked = queries.where(F.size(words(F.col("text"))) > 0).select("qid")
-    short = asked.join(best.where("score > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("had")), "qid", "left").na.fill(0).where(F.col("had") < k)
-    last = passages.select("pid").orderBy(F.desc("pid")).limit(2 * k)  # a query short of k hits finds its fill among these
-    fill = short.crossJoin(F.broadcast(last)).join(best.select("qid", "pid"), ["qid", "pid"], "left_anti").select("qid", "pid", F.lit(0.0).alias("score"))
-    return ranked(best.drop("rank").unionByName(fill))
+    return out.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -47,8 +47,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """Rows up to which a dimension whose size was counted is broadcast; beyond it a shuffle join is used."""
-    return int(spark.conf.get("claimloom.broadcast.rows", "200000"))
