@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: A key is hot when it holds more than this share of all rows, so there are at most 1 / HOT_SHARE = 2,000 hot keys.
-HOT_SHARE = 1 / 2000
+#: A key is hot when it holds more than this share of all rows, so there are at most 1 / HOT_SHARE = 200,000 hot keys: a
+#: few megabytes, whatever the table. No other key gives a task more rows than that share or HOT_ROWS.
+HOT_SHARE = 1 / 200_000
 #: Below so many rows a key is never hot: one task holds them easily.
 HOT_ROWS = 20_000
 SALTS = 64

@@ -66,6 +66,25 @@ def test_streams(spark, tmp_path, rows):
     assert len(got) == 1 and got[0].route == "medical_advice" and got[0].harm_signal
 
 
+def test_review_stream(spark, tmp_path, rows):
+    src, schema = str(tmp_path / "d"), "request_id string, status string, ts long"
+    spark.createDataFrame([("a", "pending", 1), ("a", "approved", 5), ("b", "pending", 2)], schema).write.parquet(src)
+    run = lambda: flows.review_state(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("complete").format("memory").queryName("reviews").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert rows(spark.table("reviews")) == [("a", "approved", 5, 2), ("b", "pending", 2, 1)]
+    spark.createDataFrame([("b", "rejected", 9), ("a", "pending", 3)], schema).write.mode("append").parquet(src)
+    run()
+    assert rows(spark.table("reviews")) == [("a", "approved", 5, 3), ("b", "rejected", 9, 2)]
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    src = str(tmp_path / "e")
+    spark.createDataFrame([("2024-01-01 10:05:00", "x", 1.0), ("2024-01-01 10:15:00", "x", 2.0), ("2024-01-01 13:00:00", "x", 4.0)], "t string, event_type string, value double").selectExpr("to_timestamp(t) ts", "event_type", "value").write.parquet(src)
+    ev = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(src)
+    flows.windowed(ev).writeStream.outputMode("append").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.n, r.total) for r in spark.table("win").collect()] == [(2, 3.0)]
+
+
 def test_plans(spark):
     """Filters and columns reach the scan; ranking is limited per group before the shuffle."""
     from claimloom.plans import claims
