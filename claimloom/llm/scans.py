@@ -38,6 +38,8 @@ PRIOR = 2e-3
 #: Weight of word pairs against single words.
 PAIRS = 0.7
 _UNKNOWN, _NAME = 1e-9, 1e-6
+#: A name is corrected if the corrected spelling is by so much (in logs) likelier; letters are judged from so many on.
+NAME_GAIN, LEAST_LETTERS = 1.0, 2000
 _FLUSH = 400_000
 #: A recurring line is of the page if at least this part of its wording's occurrences stand at page edges.
 EDGE = 0.8
@@ -143,23 +145,40 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     return {r.w: r.n for r in got.where(F.col("n") >= max(LEAST, all_ * SHARE)).collect()}
 
 
-def pair_counts(pages: DataFrame, words: dict[str, int]) -> dict[tuple[str, str], int]:
-    """The usual pairs of usual words, counted over all pages."""
+def is_name(token: str) -> bool:
+    return len(token) > 3 and token[0].isupper() and token[1:].islower() and token.isalpha()
+
+
+def trigrams(word: str) -> list[str]:
+    w = f"^{word.lower()}$"
+    return [w[k:k + 3] for k in range(len(w) - 2)]
+
+
+def pair_counts(pages: DataFrame, words: dict[str, int]) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """The usual pairs of usual words, and the letter triples of names (capitalised words that are not usual).
+
+    Both are counted over all pages; there are at most as many triples as the letters allow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    s = [shape(t) for t in tokens(line)]
+                    ts = tokens(line)
+                    s = [shape(t) for t in ts]
                     total.update(f"{x} {y}" for x, y in zip(s, s[1:], strict=False) if x in words and y in words)
+                    for t, x in zip(ts, s, strict=True):
+                        if x not in words and is_name(t) and t.isascii():
+                            total.update(trigrams(t))
             if len(total) > _FLUSH:
                 yield from _counted(total, ["w", "n"])
         yield from _counted(total, ["w", "n"])
 
     least = max(2, sum(words.values()) * SHARE)
-    got = pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {tuple(r.w.split(" ", 1)): r.n for r in got.collect()}
+    got = pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | ~F.contains("w", F.lit(" ")))
+    rows = got.collect()
+    return {tuple(r.w.split(" ", 1)): r.n for r in rows if " " in r.w}, {r.w: r.n for r in rows if " " not in r.w}
 
 
 def inverse(token: str, edits: int = 2) -> dict[str, tuple[tuple[str, str], ...]]:
@@ -187,8 +206,11 @@ _ODD = re.compile(r"[0-9@+ſ|!$(]")
 class Channel:
     """Words, pairs of words and confusion probabilities of a corpus."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], letters: dict[str, int] | None = None):
         self.total = max(sum(words.values()), 1)
+        self.letters, self.before = letters or {}, Counter()
+        for t, n in self.letters.items():
+            self.before[t[:2]] += n
         self.words, self.pairs = dict(words), pairs
         self._purify()
         self.memo: dict[str, list[tuple[str, float]]] = {}
@@ -235,6 +257,8 @@ class Channel:
                     out.append((v, sum(math.log(self.chance[c]) for c in how)))
             if len(out) == 1 and t not in self.words and _ODD.search(t):
                 out += self._spelled(t)
+            elif len(out) == 1 and t not in self.words and is_name(token):
+                out = self._named(t)
         if len(self.memo) > _FLUSH:
             self.memo.clear()
         self.memo[token] = out
@@ -257,6 +281,18 @@ class Channel:
             v = v[:k] + ("l" if any(c in "aeiou" for c in around) else "i") + v[k + 1:]
         return [(v, math.log(PRIOR))] if v.replace("'", "").isalpha() else []
 
+    def spelling(self, word: str) -> float:
+        """Log likelihood of a name's letters, each after the two before it; unseen ones weigh little."""
+        return sum(math.log((self.letters.get(g, 0) + 0.05) / (self.before[g[:2]] + 2.0)) for g in trigrams(word))
+
+    def _named(self, t: str) -> list[tuple[str, float]]:
+        """A name as it stands, or the one of a single confusion whose letters follow each other far more usually."""
+        if self.before.total() < LEAST_LETTERS:
+            return [(t, 0.0)]
+        here = self.spelling(t)
+        best = max(((self.spelling(v) + math.log(self.chance[how[0]]), v) for v, how in inverse(t, 1).items() if v.isalpha()), default=(-1e9, t))
+        return [(best[1], 0.0)] if best[0] > here + NAME_GAIN else [(t, 0.0)]
+
     def single(self, v: str) -> float:
         n = self.words.get(shape(v), 0)
         return math.log(n / self.total) if n else math.log(_UNKNOWN)
@@ -470,12 +506,12 @@ def _pages(image_ingestion: DataFrame) -> DataFrame:
 def _decoded(image_ingestion: DataFrame, make, schema: str) -> DataFrame:
     pages = _pages(image_ingestion)
     words = word_counts(pages)
-    pairs = pair_counts(pages, words)
+    pairs, letters = pair_counts(pages, words)
     marks = running_lines(pages, words).groupBy("id").agg(F.collect_list("line_no").alias("running"))  # at most two a page
     joined = pages.join(marks.withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left").select("raw_input_id", "extracted_text", "confidence", "number", "running")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(words, pairs)
+        channel = Channel(words, pairs, letters)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 rows = []

@@ -64,3 +64,14 @@ def test_planted_damage_is_found(spark):
 def test_empty(spark, rows):
     none = spark.createDataFrame([], SCHEMA)
     assert rows(s.defects(none)) == [] and rows(s.repaired(none)) == []
+
+
+def test_names_by_their_letters():
+    rng = random.Random(3)
+    names = ["".join(rng.choice(["ba", "che", "di", "fo", "gu", "la", "she", "tu", "ne", "mi"]) for _ in range(3)) for _ in range(600)]
+    letters = {}
+    for n in names:
+        for g in s.trigrams(n):
+            letters[g] = letters.get(g, 0) + 1
+    c = s.Channel({"said": 100}, {}, letters)
+    assert c.candidates("Lafone")[0][0] == "lafone" and c.candidates("Lafonc")[0][0] == "lafone" and c.candidates("Lachetii")[0][0] == "lachetu"
