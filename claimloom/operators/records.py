@@ -29,16 +29,17 @@ def first_of(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
 def stride(df: DataFrame, label: str, order: str, per_class: int) -> DataFrame:
     """At most `per_class` rows of each class, every step-th in order, step = max(1, n of class / per_class).
 
-    Positions come from counts per hash-free range of `order`, so that a class of any size is never sorted in one task:
-    rows are counted per bucket of `order`, buckets are summed up, and only a bucket is sorted at a time.
+    A class of any size is never sorted in one task: rows are counted per range of `order` (a number, spread about
+    evenly; some million rows a range), the counts are summed up, and only a range is sorted at a time.
     """
     df = df.where(F.col(label).isNotNull())
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    b = F.floor((F.col(order) - F.col("__lo")) * 256 / (F.col("__hi") - F.col("__lo") + 1)).cast("int")
+    ranges = F.greatest(F.lit(64), F.ceil(F.col("__n") / 1_000_000))
+    b = F.floor((F.col(order) - F.col("__lo")) * ranges / (F.col("__hi") - F.col("__lo") + 1)).cast("long")
     part = df.join(F.broadcast(n), label).withColumn("__b", b)  # one row per class
     before = part.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = before.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    got = part.join(F.broadcast(before.select(label, "__b", "__before")), [label, "__b"])  # 256 rows per class
+    got = part.join(before.select(label, "__b", "__before"), [label, "__b"])
     pos = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__b").orderBy(order)) - 1
     step = F.greatest(F.floor(F.col("__n") / per_class), F.lit(1))
     got = got.withColumn("__p", pos).where((F.col("__p") % step == 0) & (F.col("__p") / step < per_class))
@@ -51,12 +52,24 @@ def latest(events: DataFrame, key: str, time: str, tie: str, *columns: str) -> D
     return got.select(key, "r.*", "events")
 
 
-def runs(events: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """(key, run, value, length, first, last): stretches of equal values in time order (W8, gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    start = (F.lag(value).over(w).isNull() | ~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("int")
-    x = events.withColumn("__s", start).withColumn("run", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(key, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"), F.min(time).alias("first"), F.max(time).alias("last"))
+def runs(events: DataFrame, key: str, time: str, tie: str, value: str, bucket: Column) -> DataFrame:
+    """(key, run, value, length, first, last): stretches of equal values in time order (W8, gaps and islands).
+
+    `bucket` grows with time (a day, say). Only a bucket of a key is sorted at a time; a summary row of each bucket tells
+    whether its first stretch continues the last one of the bucket before, and how many stretches precede it. Null
+    values make stretches of their own.
+    """
+    x = events.withColumn("__b", bucket)
+    w = Window.partitionBy(key, "__b").orderBy(time, tie)
+    opens = (F.row_number().over(w) == 1) | ~F.lag(value).over(w).eqNullSafe(F.col(value))
+    x = x.withColumn("__s", opens.cast("long")).withColumn("__r", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = x.groupBy(key, "__b", "__r").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"), F.min(time).alias("first"), F.max(time).alias("last"))
+    ends = part.groupBy(key, "__b").agg(F.min_by(F.struct(value), "__r").alias("__head"), F.max_by(F.struct(value), "__r").alias("__tail"), F.max("__r").alias("__n"))
+    v = Window.partitionBy(key).orderBy("__b")
+    ends = ends.withColumn("__joined", F.coalesce(F.lag("__tail").over(v).eqNullSafe(F.col("__head")) & F.lag("__n").over(v).isNotNull(), F.lit(False)).cast("long"))
+    ends = ends.withColumn("__before", F.coalesce(F.sum(F.col("__n") - F.col("__joined")).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    got = part.join(ends.select(key, "__b", "__before", "__joined"), [key, "__b"]).withColumn("run", F.col("__before") + F.col("__r") - F.col("__joined"))
+    return got.groupBy(key, "run").agg(F.first(value).alias(value), F.sum("length").alias("length"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def best_overlap(spans: DataFrame, labels: DataFrame, key: str, width: int = 86400) -> DataFrame:

@@ -50,7 +50,7 @@ ORACLE["review_latest"] = "SELECT user_id, event_id, event_type, events FROM (SE
 QUERIES["pending_reviews"] = lambda s, d: records.latest(table(s, d, "events"), "user_id", "ts", "event_id", "event_id", "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("users"))
 ORACLE["pending_reviews"] = "SELECT event_type, count(*) AS users FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY event_type"
 
-QUERIES["islands"] = lambda s, d: records.runs(table(s, d, "events"), "user_id", "ts", "event_id", "event_type")
+QUERIES["islands"] = lambda s, d: records.runs(table(s, d, "events"), "user_id", "ts", "event_id", "event_type", F.date_trunc("day", "ts"))
 ORACLE["islands"] = """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS length, min(ts) AS first, max(ts) AS last FROM b GROUP BY user_id, run"""
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def test_picks(spark, rows):
     e = spark.createDataFrame([(1, 10, 1, "a"), (1, 20, 2, "b"), (1, 20, 3, "c"), (2, 5, 4, None)], "k int, ts int, id int, v string")
     assert rows(r.latest(e, "k", "ts", "id", "v")) == [(1, "c", 3), (2, None, 1)]
-    assert rows(r.runs(spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 2, "a"), (1, 3, 3, "b"), (1, 4, 4, "a")], "k int, ts int, id int, v string"), "k", "ts", "id", "v")) == [(1, 1, "a", 2, 1, 2), (1, 2, "b", 1, 3, 3), (1, 3, "a", 1, 4, 4)]
+    log = [(1, 1, 1, "a"), (1, 2, 2, "a"), (1, 3, 3, "b"), (1, 4, 4, "a"), (1, 11, 5, "a"), (1, 25, 6, "a"), (1, 26, 7, None), (1, 31, 8, None), (1, 32, 9, "b"), (2, 3, 1, None)]
+    got = r.runs(spark.createDataFrame(log, "k int, ts int, id int, v string"), "k", "ts", "id", "v", F.floor(F.col("ts") / 10))
+    assert rows(got) == [(1, 1, "a", 2, 1, 2), (1, 2, "b", 1, 3, 3), (1, 3, "a", 3, 4, 25), (1, 4, None, 2, 26, 31), (1, 5, "b", 1, 32, 32), (2, 1, None, 1, 3, 3)]
     assert rows(r.first_of(e, [F.col("k")], "id").select("id")) == [(1,), (4,)]
     assert rows(r.not_in(e, spark.createDataFrame([(1,)], "k int"), "k").select("k")) == [(2,)]
 
