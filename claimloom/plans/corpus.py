@@ -22,3 +22,27 @@ QUERIES = {
     "p3_found": lambda s, d: overlap.overlap_pairs(*_splits(s, d)),
     "p3_split_source": lambda s, d: overlap.overlap_counts(*_splits(s, d)),
 }
+
+
+def _bare(v: str) -> str:
+    """`copies.bare` in SQL, character by character."""
+    c = f"lower(coalesce({v}, ''))"
+    keep = "regexp_full_match(s[i], '[\\p{L}\\p{M}\\p{N}]') OR (regexp_full_match(s[i-1], '\\p{Nd}') AND regexp_full_match(s[i+1], '\\p{Nd}') AND NOT regexp_full_match(s[i], '[\\s\\p{Z}\\p{C}]'))"
+    return f"(SELECT array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda i: {keep}), lambda i: s[i]), '') FROM (SELECT {c} AS s))"
+
+
+def _field(name: str) -> str:
+    """A field of a raw record in SQL, in any of the three layouts and key cases."""
+    any_ = "|".join(copies.FIELDS)
+    keys = ", ".join(f"""json_extract_string(j, '$."{k}"')""" for k in (name, name.upper(), name.capitalize()))
+    plain = f"regexp_extract(regexp_replace(record, '[|;]\\s*({any_})\\s*[:=]', chr(1) || '\\1' || chr(2), 'gi'), '(?is)(?:^|\\x01)\\s*{name}\\s*[:=\\x02]([^\\x01]*)', 1)"
+    return f"CASE WHEN j IS NOT NULL THEN coalesce({keys}) ELSE {plain} END"
+
+
+_KEYS = f"""WITH c AS (SELECT 'final_health_claims' AS tbl, claim_id AS id, {_bare('claim')} || chr(1) || {_bare('label')} AS k FROM final_health_claims WHERE regexp_replace(coalesce(claim, ''), '[\\s\\p{{Z}}\\p{{C}}]', '', 'g') <> ''),
+r0 AS (SELECT record_id AS id, record, CASE WHEN starts_with(ltrim(record), '{{') THEN record::JSON END AS j FROM claim_records), r1 AS (SELECT id, {', '.join(f"{_field(f)} AS {f}" for f in copies.FIELDS)} FROM r0),
+r AS (SELECT 'claim_records' AS tbl, id, {" || chr(1) || ".join(_bare(f) for f in copies.FIELDS)} AS k FROM r1 WHERE regexp_replace(coalesce(claim, ''), '[\\s\\p{{Z}}\\p{{C}}]', '', 'g') <> ''), a AS (SELECT * FROM c UNION ALL SELECT * FROM r)"""
+ORACLE = {
+    "p2_found": f"{_KEYS} SELECT tbl, keep_id, id AS copy_id FROM (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, k) AS keep_id FROM a) WHERE id > keep_id",
+    "p2_groups": f"{_KEYS} SELECT tbl, min(id) AS keep_id, count(*) AS copies FROM a GROUP BY tbl, k",
+}
