@@ -43,4 +43,11 @@ QUERIES = {
     "p8_found": lambda s, d: subjects.document_areas(*_subjects(s, d)).select("doc_id", "area"),
     "p8_areas": lambda s, d: subjects.corpus_by_area(*_subjects(s, d)),
 }
-ORACLE: dict[str, str] = {}
+#: Runs of twelve words of documents and of items, joined.
+_RUNS = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), er AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+found AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r))"""
+ORACLE: dict[str, str] = {
+    "p7_found": f"{_RUNS} SELECT doc_id, item_id FROM found",
+    "p7_report": f"{_RUNS} SELECT e.item_id, any_value(benchmark) AS benchmark, count(DISTINCT found.doc_id) AS documents FROM eval_items e LEFT JOIN found USING (item_id) GROUP BY 1",
+}
