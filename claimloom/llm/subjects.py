@@ -112,10 +112,14 @@ def _softmax(s: np.ndarray) -> np.ndarray:
 def weights(counts: np.ndarray) -> np.ndarray:
     """Complement naive Bayes: how much less usual a feature is outside an area, against the mean of all areas."""
     other = counts.sum(1, keepdims=True) - counts
-    total = other.sum(0, keepdims=True)
-    alpha = 1.0 + ALPHA * counts.sum()
-    log = -np.log((other + alpha) / (total + alpha * len(counts)))
-    return (log - log.mean(1, keepdims=True)).astype(np.float32)
+    total = other.sum(0, keepdims=True, dtype=np.float64)
+    alpha = 1.0 + ALPHA * counts.sum(dtype=np.float64)
+    other += np.float32(alpha)  # in place: the arrays are all that a round keeps on the driver
+    other /= (total + alpha * len(counts)).astype(np.float32)
+    np.log(other, out=other)
+    np.negative(other, out=other)
+    other -= other.mean(1, keepdims=True)
+    return other
 
 
 def _scores(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -144,9 +148,11 @@ def _sums(df: DataFrame, run, areas: int, size: int) -> np.ndarray:
     """Sums by bucket over all partitions; `size` x `areas` numbers reach the driver, whatever the corpus."""
     cols = [f"a{k}" for k in range(areas)]
     got = df.mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in cols))
-    got = got.groupBy("b").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-    out = np.zeros((size, areas))
-    out[got["b"].to_numpy(np.int64)] = got[cols].to_numpy()
+    got = got.groupBy("b").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toArrow()
+    out = np.zeros((size, areas), np.float32)
+    at = got.column("b").to_numpy()
+    for k, c in enumerate(cols):
+        out[at, k] = got.column(c).to_numpy()
     return out
 
 
