@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,7 @@ def is_number_line(line: str) -> bool:
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "5": "s", "9": "g", "6": "b", "h": "b", "@": "a", "+": "t", "ſ": "f", "c": "e", "|": "l", "!": "l"})
 
 
+@lru_cache(1 << 16)
 def skeleton(word: str) -> str:
     """One form for all readings of a word."""
     w = word.lower()
@@ -99,6 +101,7 @@ def tokens(line: str) -> list[str]:
     return [t for t in (w.strip(_STRIP) for w in line.split()) if t]
 
 
+@lru_cache(1 << 16)
 def shape(token: str) -> str:
     """A token as the language model has it: lower case, numbers as one."""
     t = token.lower()
@@ -252,7 +255,7 @@ class Channel:
                 digits = "".join(DIGITS.get(c, DIGITS.get(c.lower(), c)) for c in token)
                 if digits.isdigit() and (any(c.isdigit() for c in t) or t not in self.words):
                     out.append((digits, sum(math.log(0.02) for a, b in zip(digits, t, strict=True) if a != b)))
-            for v, how in inverse(t, 2 if t not in self.words else 1).items():
+            for v, how in inverse(t, 1 if t in self.words or is_name(token) else 2).items():
                 if v in self.words:
                     out.append((v, sum(math.log(self.chance[c]) for c in how)))
             if len(out) == 1 and t not in self.words and _ODD.search(t):
@@ -310,6 +313,8 @@ class Channel:
 
     def decode(self, line: list[tuple[str, list[str]]], doubt: float) -> list[str]:
         """The best words of a line; an entry is (token as read, its spellings: several for a joined word)."""
+        if all(len(sp) == 1 and len(self.candidates(sp[0])) == 1 for _, sp in line):
+            return [self.candidates(sp[0])[0][0] for _, sp in line]  # nothing to choose
         states: dict[str | None, tuple[float, tuple]] = {None: (0.0, ())}
         for place, (token, spellings) in enumerate(line):
             name = token[:1].isupper() and token[1:].islower() and place > 0
