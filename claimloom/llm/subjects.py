@@ -9,14 +9,17 @@ A document deals with an area that at least a fifth of its sentences with an are
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import codepoints as cps
+
 #: Buckets of hashed features; fixes the model's size at any corpus size.
 DIM = 1 << 18
 #: Labelled rows the first model is trained on at most (a share of the documents, by hash); the refinement covers all documents.
@@ -36,72 +39,105 @@ FULL = 50
 #: Posterior from which a sentence belongs to an area.
 SURE = 0.7
 _BINS, _LOW, _HIGH = 80, -20.0, 60.0
-_MEMO = 500_000
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|[.!?।]+(?=[\"”’»)]*(?:\s|$))|\n+")
-_END, _LINE = -1, -2
-#: Added to a capitalised word: inside a sentence it is a name, and names tell no subject.
-_NAME = 1 << 32
-
-
-class _Words(dict):
-    """Token -> number, made on first sight."""
-
-    def __missing__(self, token: str) -> int:
-        import xxhash
-
-        if token[0] == "\n":
-            n = _LINE
-        elif token[0] in ".!?।":
-            n = _END
-        else:
-            n = xxhash.xxh32_intdigest(token.lower().encode("utf-8", "replace"))
-            if token[:1].isupper() and token[1:].islower():
-                n += _NAME
-        if len(self) > _MEMO:
-            self.clear()
-        self[token] = n
-        return n
-
-
-def features(texts: list[str | None], words: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature buckets of all sentences, start of each sentence among them, document of each sentence)."""
-    number = words.__getitem__
-    flat: list[int] = []
-    ends = [0]
-    for t in texts:
-        if t:
-            flat += map(number, _TOKEN.findall(t.replace("\r", "\n")))
-            flat.append(_LINE)
-        ends.append(len(flat))
-    x = np.array(flat, np.int64)
+_LETTER, _JOIN, _END, _CLOSE, _LINE, _BLANK, _UPPER = 1, 2, 4, 8, 16, 32, 64
+
+
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """What each code point is, as flags, and its lower case; characters beyond the tables are none of them."""
+    kind, low = np.zeros(0x30000, np.uint8), np.arange(0x30000, dtype=np.uint32)
+    for o in (*range(0xD800), *range(0xE000, 0x30000)):
+        c = chr(o)
+        cat = unicodedata.category(c)
+        if cat[0] in "LM":
+            kind[o] = _LETTER | (_UPPER if cat == "Lu" else 0)
+            x = c.lower()
+            if len(x) == 1:
+                low[o] = ord(x)
+        elif c in "'’-":
+            kind[o] = _JOIN | (_CLOSE if c == "’" else 0)
+        elif c in ".!?।":
+            kind[o] = _END
+        elif c in "\"”»)":
+            kind[o] = _CLOSE
+        elif c in "\r\n":
+            kind[o] = _LINE | _BLANK
+        elif c.isspace():
+            kind[o] = _BLANK
+    return kind, low
+
+
+_POWER = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
+
+
+def features(texts: pa.Array, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature buckets of all sentences, start of each sentence among them, document of each sentence).
+
+    Taken `step` texts at a time, so that the arrays stay in the processor's caches.
+    """
+    parts, n = [], 0
+    for k in range(0, len(texts), step):
+        f, start, doc = _features(texts.slice(k, step))
+        parts.append((f, start + n, doc + k))
+        n += len(f)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+
+
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature buckets of all sentences, start of each sentence among them, document of each sentence).
+
+    Words are runs of letters and marks, joined by apostrophes and hyphens between letters. A sentence ends with an end
+    mark before a blank, or is a line of LINE_WORDS words. Capitalised words inside a sentence are names, which tell no
+    subject, and are left out. Code points of all texts are handled as one array.
+    """
     empty = np.empty(0, np.int64)
-    if not len(x):
+    cp, off = cps.explode(texts)
+    if not len(cp):
+        return empty, empty, empty
+    kinds, low = _kinds()
+    cp = np.where(cp < 0x30000, cp, 0)
+    # a line end between texts keeps them apart
+    n_text = len(off) - 1
+    row = cps.rows_of(off)
+    cp = np.insert(cp, off[1:], 10)
+    doc_of = np.insert(row, off[1:], np.arange(n_text))
+    k = kinds[cp]
+    letter = (k & _LETTER) > 0
+    after = np.r_[letter[1:], False]
+    word = letter | ((k & _JOIN) > 0) & np.r_[False, letter[:-1]] & after
+    i = np.nonzero(word)[0]
+    if not len(i):
         return empty, empty, empty
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    mark = x < 0
-    part = np.cumsum(mark) - mark  # the run of words before each mark
-    at = np.nonzero(mark)[0]
-    size = np.diff(np.r_[-1, at]) - 1
-    good = (size > 1) & ((x[at] == _END) | (size >= LINE_WORDS))
-    opens = np.r_[True, mark[:-1]]
-    use = ~mark & good[part] & ((x < _NAME) | opens)
-    h, p = x[use] % _NAME, part[use]
-    new = np.r_[True, p[1:] != p[:-1]] if len(p) else np.empty(0, bool)
+    opens = np.r_[True, i[1:] != i[:-1] + 1]
+    start = np.nonzero(opens)[0]
+    size = np.diff(np.r_[start, len(i)])
+    place = np.arange(len(i)) - np.repeat(start, size)
+    h = np.add.reduceat(low[cp[i]].astype(np.uint64) * _POWER[place & 255], start)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    upper = np.add.reduceat(((k[i] & _UPPER) > 0).astype(np.int32), start)
+    name = ((k[i[start]] & _UPPER) > 0) & (upper == 1) & (size > 1)
+    stop = (k & _END) > 0
+    closing = np.r_[(k[1:] & (_BLANK | _CLOSE)) > 0, True]
+    mark = np.nonzero(stop & closing | ((k & _LINE) > 0))[0]
+    part = np.searchsorted(mark, i[start])  # the mark that ends the word's run; each text ends with one
+    new = np.r_[True, part[1:] != part[:-1]]
+    words = np.bincount(part, minlength=len(mark))
+    good = (words > 1) & (stop[mark] | (words >= LINE_WORDS))
+    use = good[part] & (~name | new)
+    h, p, at = h[use], part[use], i[start][use]
     if not len(h):
         return empty, empty, empty
-    first = np.nonzero(new)[0]
+    first = np.nonzero(np.r_[True, p[1:] != p[:-1]])[0]
     n = np.diff(np.r_[first, len(h)])
-    u = h.astype(np.uint64)
-    pair = u * np.uint64(0x9E3779B97F4A7C15)
-    pair[:-1] += u[1:]
-    pair *= np.uint64(0xBF58476D1CE4E5B9)
-    pair = (pair >> np.uint64(40)) % np.uint64(DIM)
-    single = (u * np.uint64(0x94D049BB133111EB) >> np.uint64(40)) % np.uint64(DIM)
-    both = np.stack([single, pair], 1).ravel().astype(np.int64)
+    pair = h.copy()
+    pair[:-1] += h[1:] * np.uint64(0xBF58476D1CE4E5B9)
+    pair *= np.uint64(0x94D049BB133111EB)
+    both = np.empty(2 * len(h), np.int64)
+    both[0::2] = (h >> np.uint64(40)) % np.uint64(DIM)
+    both[1::2] = (pair >> np.uint64(40)) % np.uint64(DIM)
     keep = np.ones(len(both), bool)
     keep[2 * (first + n) - 1] = False  # a sentence's last word begins no pair
-    start = 2 * first - np.arange(len(first))
-    return both[keep], start, doc[np.nonzero(use)[0][first]]
+    return both[keep], 2 * first - np.arange(len(first)), doc_of[at[first]]
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -179,11 +215,11 @@ def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most
     got = documents.join(F.broadcast(each), "doc_id").select("text", *[f"a{k}" for k in range(len(areas))])  # about `most` short rows at the most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Words(), np.zeros((DIM, len(areas)))
+        total = np.zeros((DIM, len(areas)))
         for b in batches:
             share = np.stack([b.column(k + 1).to_numpy() for k in range(len(areas))], 1)
             share = share / np.maximum(share.sum(1, keepdims=True), 1e-9)
-            f, start, doc = features(b.column(0).to_pylist(), words)
+            f, start, doc = features(b.column(0))
             if len(f):
                 _count(f, start, doc, share[doc], total)
         yield _emit(total)
@@ -196,11 +232,11 @@ def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
     areas = w.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Words(), np.zeros((DIM, areas))
+        total = np.zeros((DIM, areas))
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                f, start, doc = features(part.column(0).to_pylist(), words)
+                f, start, doc = features(part.column(0))
                 if len(f):
                     _count(f, start, doc, _posterior(_scores(w, f, start), doc, part.num_rows), total)
         yield _emit(total)
@@ -216,11 +252,11 @@ def calibrate(documents: DataFrame, w: np.ndarray) -> np.ndarray:
     areas = w.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Words(), np.zeros((2 * _BINS, areas))
+        total = np.zeros((2 * _BINS, areas))
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                f, start, doc = features(part.column(0).to_pylist(), words)
+                f, start, doc = features(part.column(0))
                 if not len(f):
                     continue
                 s = _scores(w, f, start)
@@ -262,9 +298,9 @@ class Classifier:
     def __init__(self, areas: list[str], w: np.ndarray, curve: np.ndarray):
         self.areas, self.w, self.curve = areas, w, curve
 
-    def sentences(self, texts: list[str | None], words: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, best area, its posterior) of every sentence."""
-        f, start, doc = features(texts, words)
+        f, start, doc = features(texts)
         if not len(f):
             return doc, doc, np.empty(0)
         s = _scores(self.w, f, start)
@@ -296,12 +332,12 @@ def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataF
     c = train(docs, labels, subject_areas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, k = _Words(), len(c.areas)
+        k = len(c.areas)
         names = np.array(c.areas, object)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 chunk = b.slice(at, 4096)
-                doc, area, p = c.sentences(chunk.column(1).to_pylist(), words)
+                doc, area, p = c.sentences(chunk.column(1))
                 sure = p >= SURE
                 key = doc[sure] * k + area[sure]
                 n = np.bincount(key, minlength=chunk.num_rows * k).reshape(-1, k)

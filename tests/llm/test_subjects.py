@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from claimloom.llm import subjects as s
 
 DOCS, LABELS, AREAS = "doc_id long, text string", "doc_id long, area string, annotator string", "area string, title string"
@@ -52,6 +53,10 @@ def test_empty(spark, rows):
 
 
 def test_features_of_sentences():
-    f, start, doc = s.features(["One two three. Heading\nfour five!", None, "", "Six Seven eight."], s._Words())
-    assert len(start) == 3 and doc.tolist() == [0, 0, 3]
-    assert np.diff(np.r_[start, len(f)]).tolist() == [5, 3, 3]  # a capitalised word inside a sentence is left out
+    f, start, doc = s.features(pa.array(["One two three. Heading\nfour five!", None, "", "Six Seven eight 2.5 it's"], pa.string()))
+    assert len(start) == 2 and doc.tolist() == [0, 0]
+    assert np.diff(np.r_[start, len(f)]).tolist() == [5, 3]
+    f, start, doc = s.features(pa.array(["Six Seven eight.", "É one, two!\" x", None], pa.string()))
+    assert doc.tolist() == [0, 1] and np.diff(np.r_[start, len(f)]).tolist() == [3, 5]  # a capitalised word inside a sentence is left out
+    a, b = s.features(pa.array(["the same words."])), s.features(pa.array(["x y.", "THE same Words!"]).slice(1))
+    assert a[0].tolist()[:3] == b[0].tolist()
