@@ -36,8 +36,9 @@ PART = 5
 LINE_WORDS = 7
 #: In training, a document with more sentences than this counts as one with so many: no long text outweighs the corpus.
 FULL = 50
-#: Posterior from which a sentence belongs to an area.
-SURE = 0.7
+#: Posterior from which a sentence belongs to an area, and the part of its features that must speak for it: a long
+#: sentence of no area may hold a few words of one.
+SURE, SPEAKING = 0.7, 0.12
 _BINS, _LOW, _HIGH = 80, -20.0, 60.0
 _LETTER, _JOIN, _END, _CLOSE, _LINE, _BLANK, _UPPER = 1, 2, 4, 8, 16, 32, 64
 
@@ -299,14 +300,16 @@ class Classifier:
         self.areas, self.w, self.curve = areas, w, curve
 
     def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, best area, its posterior) of every sentence."""
+        """(document, best area, its posterior) of every sentence; 0 where too few features speak for the area."""
         f, start, doc = features(texts)
         if not len(f):
             return doc, doc, np.empty(0)
         s = _scores(self.w, f, start)
         p = 1 / (1 + np.exp(-np.clip(s * self.curve[:, 0] + self.curve[:, 1], -30, 30)))
         best = s.argmax(1)
-        return doc, best, p[np.arange(len(p)), best]
+        n = np.diff(np.r_[start, len(f)])
+        speaking = np.add.reduceat((self.w[f, np.repeat(best, n)] > 1.0).astype(np.float32), start)
+        return doc, best, np.where(speaking >= SPEAKING * n, p[np.arange(len(p)), best], 0.0)
 
 
 def train(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, rounds: int = ROUNDS) -> Classifier:
