@@ -83,10 +83,10 @@ class Passages:
 
 
 def _blocks(items: DataFrame, block: int) -> list[list[tuple[int, str, str | None]]]:
-    """The items in blocks of at most about `block`; empty and null texts hold no passage and are left out."""
+    """The items in blocks of at most about `block`; empty and null texts hold no passage, items without an id are left out."""
     rows = items.select(F.col("item_id").cast("long").alias("i"), F.explode(F.array(
         F.struct(F.lit("text").alias("p"), F.col("text").alias("t")), F.struct(F.lit("answer").alias("p"), F.col("answer").alias("t")))).alias("s"))
-    rows = rows.select("i", "s.p", "s.t").where("t is not null and trim(t) != ''")
+    rows = rows.select("i", "s.p", "s.t").where("i is not null and t is not null and trim(t) != ''")
     n = rows.count()
     if n <= block:
         return [[(r.i, r.p, r.t) for r in rows.collect()]]

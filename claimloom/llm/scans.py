@@ -500,12 +500,15 @@ class Page:
 
 
 def _pages(image_ingestion: DataFrame) -> DataFrame:
-    """The pages with their file: from the metadata, else from the identifier; and the page number where it is known."""
+    """The pages with their file: from the metadata, else from the identifier; and the page number where it is known.
+
+    A page without an identifier can't be told from others and is left out.
+    """
     meta = F.col("metadata")
     of_id = F.regexp_extract("raw_input_id", r"(\d+)-\d+\D*$", 1)
     file = F.coalesce(F.try_element_at(meta, F.lit("file")), F.concat(F.lit("scan-"), of_id))
     number = F.coalesce(F.try_element_at(meta, F.lit("page")).try_cast("int"), F.regexp_extract("raw_input_id", r"(\d+)\D*$", 1).try_cast("int"))
-    return image_ingestion.select("raw_input_id", "extracted_text", F.col("ocr_confidence").cast("double").alias("confidence"), file.alias("file"), number.alias("number"))
+    return image_ingestion.where("raw_input_id is not null").select("raw_input_id", "extracted_text", F.col("ocr_confidence").cast("double").alias("confidence"), file.alias("file"), number.alias("number"))
 
 
 def _decoded(image_ingestion: DataFrame, make, schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_against_brute_force(spark, rows):
     vocab = [f"w{i}" for i in range(30)]
     items = [(i, "b", " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 12, 20, 40]))), None) for i in range(20)]
     items.append((20, "b", items[3][2] + " tail end", "TRUE"))
-    items += [(21, "b", "", None), (22, "b", None, None)]
+    items += [(21, "b", "", None), (22, "b", None, None), (None, None, items[3][2], None)]
     docs = [(0, None), (1, ""), (2, "one two")]
     for i in range(3, 60):
         _, _, t, _ = rng.choice(items[:21])
@@ -24,12 +24,12 @@ def test_against_brute_force(spark, rows):
         piece = w[a:a + rng.choice([8, 11, 12, 13, 30])]
         noise = [rng.choice(vocab + ["other", "Words"]) for _ in range(10)]
         docs.append((i, ", ".join(noise) + "\n" + " -- ".join(x.upper() for x in piece) + ". " + " ".join(noise)))
-    docs.append((3, docs[3][1]))
+    docs += [(3, docs[3][1]), (None, docs[3][1])]
     want = []
     for i, t in docs:
         d = " " + " ".join(words(t)) + " "
         for j, _, x, _ in items:
-            w = words(x)
+            w = words(x) if j is not None else []
             if any(" " + " ".join(w[k:k + 12]) + " " in d for k in range(len(w) - 11)):
                 want.append((i, j))
     d = spark.createDataFrame([(*x, "n") for x in docs], "doc_id long, text string, item_id string")

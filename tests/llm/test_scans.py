@@ -51,7 +51,7 @@ def pages(rng):
 
 def test_planted_damage_is_found(spark):
     data, want = pages(random.Random(7))
-    data += [("img-000000009-001", "", None, None), ("img-000000009-002", None, None, {}), ("img-000000009-003", "word " * 40_000, float("nan"), None)]
+    data += [("img-000000009-001", "", None, None), ("img-000000009-002", None, None, {}), ("img-000000009-003", "word " * 40_000, float("nan"), None), (None, "12", None, None), ("odd name", "Some text", None, {})]
     df = spark.createDataFrame([(*d, "x") for d in data], SCHEMA + ", file string")
     got = {tuple(r) for r in s.defects(df).collect()}
     assert len(want - got) <= 0.02 * len(want) and len(got - want) <= 0.02 * len(want)
