@@ -30,14 +30,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{S}+|{S}+$", "")
 
 
-def replace_phrases(c: Column, phrases: list[tuple[str, str]] | None = None) -> Column:
+def replace_phrases(c: Column, phrases: list[tuple[str, str]] | None = None, lowered: bool = False) -> Column:
     """Ordered replacement of whole phrases, each over the result of the one before.
 
     A phrase is first looked for as plain text, so a text pays for the patterns only of phrases that it may hold.
+    `lowered` says that the text is in lower case already, as the English of the phrases is.
     """
+    low = (lambda x: x) if lowered else F.lower
     rows = F.array(*[
         F.struct(F.lit(s).alias("s"), F.lit(rf"(?i)(?<!{W})\Q{s}\E(?!{W})").alias("p"), F.lit(t).alias("t")) for s, t in phrases or lx.ORDERED_PHRASES])
-    return F.aggregate(rows, c, lambda acc, x: F.when(F.contains(F.lower(acc), x["s"]), F.regexp_replace(acc, x["p"], x["t"])).otherwise(acc))
+    return F.aggregate(rows, c, lambda acc, x: F.when(F.contains(low(acc), x["s"]), F.regexp_replace(acc, x["p"], x["t"])).otherwise(acc))
 
 
 def clean_claim(c: Column) -> Column:
@@ -45,7 +47,7 @@ def clean_claim(c: Column) -> Column:
     t = F.trim(F.lower(c))
     t = F.regexp_replace(t, r"http\S+|www\S+", "")
     t = F.replace(t, F.lit("-"), F.lit(" "))
-    t = replace_phrases(t)
+    t = replace_phrases(t, lowered=True)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s\p{Z},.!?]", " ")
     return squeeze(F.regexp_replace(t, r"(.)\1{2,}", "$1$1"))
 
