@@ -15,38 +15,48 @@ from ..functions import lexicons as lx
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..session import cut
-from . import evidence, retrieval
+from . import evidence, retrieval, verify
+from .evidence import lexical_nli
 
+#: Passages of a lane, and of a claim after reranking, in the standard and in the deep mode.
+STANDARD, DEEP = 5, 15
 
-def lexical_nli(claim: Column, passage: Column) -> Column:
-    """The default reading of a passage: enough shared words support, or refute where only one of both negates (D3)."""
-    c, p = F.array_distinct(tx.words(claim)), F.array_distinct(tx.words(passage))
-    share = F.size(F.array_intersect(c, p)) / (F.size(c) + 1.0)
-    no = lambda x: F.arrays_overlap(x, F.array(*[F.lit(w) for w in ("not", "no", "isn", "doesn", "nahi", "never")]))
-    return F.struct(F.when(share < 0.4, "NEI").when(no(c) != no(p), "REFUTES").otherwise("SUPPORTS").alias("verdict"), F.round(share, 6).alias("probability"))
 
-
-def candidates(claims: DataFrame, passages: DataFrame, per_lane: int = 15) -> DataFrame:
-    """(qid, claim, pid, passage, rrf_rank, lanes): the fused candidates of each claim (qid, claim) over all lanes."""
+def lane_hits(claims: DataFrame, passages: DataFrame, per_lane: int = 15) -> DataFrame:
+    """(qid, pid, lane, seen, rank): the best passages of each lane of each claim (qid, claim)."""
     asked = claims.select("qid", "claim", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("outcome"))
     lanes = cut(retrieval.lanes(asked))
     hits = retrieval.bm25(lanes.select((F.col("qid") * 8 + F.col("lane_no")).alias("qid"), "text"), passages, per_lane)
     hits = hits.select(F.floor(F.col("qid") / 8).alias("qid"), "pid", (F.col("qid") % 8).cast("int").alias("lane_no"), "rank")
     names = F.element_at(F.array(*[F.lit(n) for n, _ in lx.LANES]), F.col("lane_no") + 1)
-    fused = retrieval.fuse(hits.select("qid", "pid", names.alias("lane"), F.col("lane_no").alias("seen"), "rank"))
-    got = fused.join(claims.select("qid", "claim"), "qid").join(passages.select("pid", F.col("text").alias("passage")), "pid")
+    return hits.select("qid", "pid", names.alias("lane"), F.col("lane_no").alias("seen"), "rank")
+
+
+def fused(hits: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """Candidates of each claim from the hits of its lanes."""
+    got = retrieval.fuse(hits).join(claims.select("qid", "claim"), "qid").join(passages.select("pid", F.col("text").alias("passage")), "pid")
     return got.select("qid", "claim", "pid", "passage", F.col("rank").alias("rrf_rank"), "rrf", "lanes")
 
 
-def scored(claims: DataFrame, passages: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
-    """The k reranked passages of each claim with tier, reading and quality."""
-    got = retrieval.rerank(candidates(claims, passages), k)
+def candidates(claims: DataFrame, passages: DataFrame, per_lane: int = 15) -> DataFrame:
+    """(qid, claim, pid, passage, rrf_rank, lanes): the fused candidates of each claim (qid, claim) over all lanes."""
+    return fused(lane_hits(claims, passages, per_lane), claims, passages)
+
+
+def read(candidates: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
+    """The k reranked candidates of each claim with tier, reading and quality."""
+    got = retrieval.rerank(candidates, k)
     empty = F.lit(None).cast("string")
     return got.withColumn("n", nli(F.col("claim"), F.col("passage"))).select(
         "qid", "pid", "rank", F.round("rerank_score", 6).alias("rerank_score"), sc.text_tier(F.col("passage")).alias("source_tier"), F.col("n.verdict").alias("nli_verdict"),
         F.col("n.probability").alias("probability"), sc.passage_quality(F.col("passage"), empty, empty, empty).alias("quality"))
 
 
+def scored(claims: DataFrame, passages: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
+    """The k reranked passages of each claim with tier, reading and quality."""
+    return read(candidates(claims, passages), k, nli)
+
+
 def verdicts(claims: DataFrame, evidence_rows: DataFrame) -> DataFrame:
     """The evidence summary, confidence and verdict of each claim (A1, A3, X45, X46); a claim without passages is insufficient."""
     s = evidence.summarize(claims, evidence_rows)
@@ -59,26 +69,63 @@ def verdicts(claims: DataFrame, evidence_rows: DataFrame) -> DataFrame:
     return got.withColumn("verdict", v)
 
 
-def analyze(claims: DataFrame, passages: DataFrame, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
-    """One report row per claim (qid, text): route, mode, verdict, confidence, style, harm, risk, review.
+def checked_facts(claims: DataFrame, facts: DataFrame | None, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
+    """(qid, operating mode, truth and sureness of the tier-one match, fact_*): what the fact base says of claims (qid, claim).
 
-    Personal questions are answered with the safety notice and never reach retrieval (F2); the rest is cleaned and
-    checked. Null claims have no report.
+    The mode comes from the claim itself, the fact result from its first triple, or from the claim where it has none;
+    there only a strong match counts, else it is UNVERIFIED at medium risk (F5, F7, E1). Without facts every claim is open.
     """
-    base = cut(claims.where("text is not null").select("qid", "text", tx.clean_claim(F.col("text")).alias("claim"), tx.route(F.col("text")).alias("route")))
-    checked = base.where("route = 'fact_check'")
-    ev = cut(scored(checked.select("qid", "claim"), passages, nli=nli))
-    v = verdicts(checked.select("qid"), ev)
-    harm = sc.harm(F.col("text"), F.col("confidence"))
+    none = F.lit(None).cast("string")
+    if facts is None:
+        return claims.select("qid", F.lit("standard").alias("mode"), none.alias("truth"), F.lit(None).cast("double").alias("sure"), F.lit("NONE").alias("fact_match"), F.lit("UNVERIFIED").alias("fact_verdict"),
+                             F.lit(None).cast("double").alias("fact_nli"), F.lit("Medium").alias("fact_risk"))
+    t = tx.triple(F.col("claim"))
+    texts = F.array(F.col("claim"), F.concat_ws(" ", t["subject"], t["relation"], t["object"]))
+    asked = claims.select("qid", F.posexplode(F.when(t.isNull(), F.slice(texts, 1, 1)).otherwise(texts)).alias("which", "claim"))
+    got = cut(verify.tier_one(asked.select((F.col("qid") * 2 + F.col("which")).alias("qid"), "claim"), facts, nli=nli))
+    which, qid = F.pmod("qid", F.lit(2)), F.floor(F.col("qid") / 2).alias("qid")
+    first = got.where(which == 0).select(qid, evidence.mode(F.col("match_type"), F.col("match_found"), F.col("nli_confidence")).alias("mode"), "truth", F.col("nli_confidence").alias("sure"))
+    strong = F.max_by(F.struct("match_type", "verdict", "nli_confidence", "risk_level"), which)
+    last = got.groupBy(qid).agg(strong.alias("f"))
+    when = lambda c, otherwise: F.when(F.col("f.match_type") == "STRONG", F.col(f"f.{c}")).otherwise(otherwise)
+    last = last.select("qid", when("match_type", F.lit("NONE")).alias("fact_match"), when("verdict", F.lit("UNVERIFIED")).alias("fact_verdict"), when("nli_confidence", F.lit(None)).alias("fact_nli"), when("risk_level", F.lit("Medium")).alias("fact_risk"))
+    return first.join(last, "qid")
+
+
+def analyze(claims: DataFrame, passages: DataFrame, facts: DataFrame | None = None, nli: Callable[[Column, Column], Column] = lexical_nli, gloss: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One report row per part of a claim (qid, text), numbered by idx: route, mode, verdict, confidence, style, harm, risk, review.
+
+    Personal questions are answered with the safety notice and never reach retrieval (F2). The rest is cleaned, or
+    replaced by what the hook `gloss` gives (an accepted English gloss of the text, else null), and parted. A part that
+    the facts (fact_id, claim_subject, verdict, scientific_truth, risk_level) match strongly and surely is judged by
+    its fact alone (fast); any other by the 5 best passages of 5 per lane (standard), or, where these conflict or the
+    text may do harm, by the 15 best of 15 per lane instead (deep). Null claims have no report.
+    """
+    clean = tx.clean_claim(F.col("text")) if gloss is None else F.coalesce(gloss(F.col("text")), tx.clean_claim(F.col("text")))
+    base = cut(claims.where("text is not null").select("qid", "text", clean.alias("claim"), tx.route(F.col("text")).alias("route")))
+    parts = base.where("route = 'fact_check'").select(F.col("qid").alias("of"), "text", "route", F.posexplode(tx.sub_claims(F.col("claim"))).alias("idx", "claim"))
+    parts = cut(parts.withColumn("idx", F.col("idx") + 1).withColumn("qid", F.monotonically_increasing_id()))  # a number of its own for each part, fixed by the cut
+    known = cut(parts.join(checked_facts(parts.select("qid", "claim"), facts, nli), "qid"))
+    empty = F.lit(None).cast("string")
+    fast = known.where("mode = 'fast'")
+    truth = F.coalesce(F.when(F.trim("truth") != "", F.col("truth")), F.col("claim"))
+    fast = fast.select("qid", F.lit("guideline").alias("source_tier"), F.lit("SUPPORTS").alias("nli_verdict"), F.col("sure").alias("probability"), sc.passage_quality(truth, empty, empty, empty).alias("quality"))
+    asked = cut(known.where("mode <> 'fast'").select("qid", "claim", "text"))
+    hits = cut(lane_hits(asked, passages, DEEP))
+    standard = cut(read(fused(hits.where(F.col("rank") <= STANDARD), asked, passages), STANDARD, nli))
     signal = tx.any_contained(F.col("text"), lx.HARM_SIGNALS)
-    deep = evidence.escalate(signal, F.col("support_count"), F.col("contradiction_count"), F.col("agreement"))
-    fact = sc.fact_score(F.col("verdict"), F.lit("NONE"), F.lit(None).cast("double"), F.lit(None).cast("string"))
-    got = checked.join(v, "qid").withColumn("style", sc.style_score(F.col("text")))
-    risk = sc.combined_risk(F.col("verdict"), fact["fact_score"], fact["reliability"], F.col("style"))
-    facts = got.select(
-        "qid", "route", F.when(deep, "deep").otherwise("standard").alias("mode"), "verdict", "confidence", "best_tier", "style", harm["harm_axis"].alias("harm"), F.round(risk["risk"], 4).alias("risk"),
+    s = evidence.summarize(asked, standard).join(asked.select("qid", signal.alias("signal")), "qid")
+    deep = cut(s.where(evidence.escalate(F.col("signal"), F.col("support_count"), F.col("contradiction_count"), F.col("agreement"))).select("qid"))
+    more = read(fused(hits.join(deep, "qid", "left_semi"), asked, passages), DEEP, nli)
+    ev = cut(standard.join(deep, "qid", "left_anti").unionByName(more).select(*fast.columns).unionByName(fast))
+    got = known.join(verdicts(known.select("qid"), ev), "qid").join(deep.withColumn("deep", F.lit(True)), "qid", "left").withColumn("style", sc.style_score(F.col("claim")))
+    harm = sc.harm(F.col("text"), F.col("confidence"))
+    fact = sc.fact_score(F.col("fact_verdict"), F.col("fact_match"), F.col("fact_nli"), F.col("fact_risk"))
+    risk = sc.combined_risk(F.col("fact_verdict"), fact["fact_score"], fact["reliability"], F.col("style"))
+    reports = got.select(
+        F.col("of").alias("qid"), "idx", "claim", "route", F.when(F.col("deep"), "deep").otherwise(F.col("mode")).alias("mode"), "verdict", "confidence", "best_tier", "style", harm["harm_axis"].alias("harm"), F.round(risk["risk"], 4).alias("risk"),
         (harm["needs_review"] | F.col("verdict").isin("INSUFFICIENT_EVIDENCE", "MIXED_EVIDENCE")).alias("needs_review"), F.lit(None).cast("string").alias("notice"))
     advice = base.where("route = 'medical_advice'").select(
-        "qid", "route", F.lit("none").alias("mode"), F.lit("NOT_A_FACT_CHECK").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("none").alias("best_tier"), F.lit(0.0).alias("style"), F.lit(0.0).alias("harm"),
+        "qid", F.lit(1).alias("idx"), "claim", "route", F.lit("none").alias("mode"), F.lit("NOT_A_FACT_CHECK").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("none").alias("best_tier"), F.lit(0.0).alias("style"), F.lit(0.0).alias("harm"),
         F.lit(0.0).alias("risk"), F.lit(False).alias("needs_review"), F.lit(lx.SAFETY_RESPONSE).alias("notice"))
-    return facts.unionByName(advice)
+    return reports.unionByName(advice)

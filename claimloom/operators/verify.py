@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import cut
 from . import evidence, retrieval
-from .pipeline import lexical_nli
+from .evidence import lexical_nli
 
 #: Squared distance up to which a fact is a strong match; least confidences of a reading and of a model's answer.
 STRONG, NLI_FLOOR, ANSWER_FLOOR = 0.82, 0.65, 0.6

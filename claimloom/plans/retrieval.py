@@ -117,7 +117,8 @@ ORACLE["retrieval_metrics"] = (f"{BASE}, {bm25_sql('b', 'q', 20)}, gold AS (SELE
 
 
 def _report(s, d):
-    return pipeline.analyze(queries(s, d), facts(s, d))
+    base = table(s, d, "verified_facts").select("fact_id", "claim_subject", "verdict", "scientific_truth", "risk_level")
+    return pipeline.analyze(queries(s, d), facts(s, d), base)
 
 
 QUERIES["claim_report"] = _report

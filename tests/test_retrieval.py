@@ -75,3 +75,19 @@ def test_report_end_to_end(spark):
     assert got[2].route == "medical_advice" and got[2].notice and got[2].verdict == "NOT_A_FACT_CHECK"
     assert got[4].mode == "deep" and got[4].needs_review and got[4].harm == 0.95
     assert got[1].verdict in ("SUPPORTED", "MOSTLY_SUPPORTED", "INSUFFICIENT_EVIDENCE")
+
+
+def test_report_parts_facts_and_depth(spark):
+    claims = spark.createDataFrame([(1, "warm water aids digestion and vaccines prevent measles"), (2, "vaccines do not cause autism"), (3, "zebra stripes calm lions"), (4, "garlic may not lower blood pressure")], "qid long, text string")
+    passages = spark.createDataFrame([*PASSAGES, *[(k, f"garlic may lower blood pressure in study {k}") for k in range(10, 30)]], "pid long, text string")
+    facts = spark.createDataFrame([(1, "vaccines", "TRUE", "Vaccines do not cause autism", "High")], "fact_id long, claim_subject string, verdict string, scientific_truth string, risk_level string")
+    got = {(r.qid, r.idx): r for r in pipeline.analyze(claims, passages, facts).collect()}
+    assert {k: r.claim for k, r in got.items()} == {(1, 1): "warm water aids digestion", (1, 2): "vaccines prevent measles", (2, 1): "vaccines do not cause autism", (3, 1): "zebra stripes calm lions", (4, 1): "garlic may not lower blood pressure"}
+    assert got[2, 1].mode == "fast" and got[2, 1].best_tier == "guideline" and got[2, 1].verdict in ("SUPPORTED", "MOSTLY_SUPPORTED")
+    assert got[3, 1].mode == "standard" and got[4, 1].mode == "deep"
+    open_ = {(r.qid, r.idx): r for r in pipeline.analyze(claims, passages).collect()}
+    assert open_[2, 1].mode != "fast" and open_[2, 1].risk != got[2, 1].risk  # the fact changes evidence and risk
+    q = claims.where("qid = 4").select("qid", F.col("text").alias("claim"))
+    deep = pipeline.read(pipeline.candidates(q, passages), 15)
+    want = pipeline.verdicts(q, deep).first()
+    assert deep.count() == 15 and (got[4, 1].verdict, got[4, 1].confidence) == (want.verdict, want.confidence)  # all 15 passages judge a deep claim
