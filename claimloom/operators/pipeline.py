@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import scoring as sc
 from ..functions import text as tx
-from ..session import cut
+from ..session import cut, spread
 from . import evidence, retrieval, verify
 from .evidence import lexical_nli
 
@@ -22,14 +22,21 @@ from .evidence import lexical_nli
 STANDARD, DEEP = 5, 15
 
 
-def lane_hits(claims: DataFrame, passages: DataFrame, per_lane: int = 15) -> DataFrame:
-    """(qid, pid, lane, seen, rank): the best passages of each lane of each claim (qid, claim)."""
+def lane_hits(claims: DataFrame, passages: DataFrame, per_lane: int = 15, embedder: Callable[[Column], Column] | None = verify.embed) -> DataFrame:
+    """(qid, pid, lane, seen, rank): the best passages of each lane of each claim (qid, claim), by BM25 and by vectors.
+
+    Vectors are compared by squared distance. Without an embedder only BM25 searches.
+    """
     asked = claims.select("qid", "claim", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("outcome"))
-    lanes = cut(retrieval.lanes(asked))
-    hits = retrieval.bm25(lanes.select((F.col("qid") * 8 + F.col("lane_no")).alias("qid"), "text"), passages, per_lane)
-    hits = hits.select(F.floor(F.col("qid") / 8).alias("qid"), "pid", (F.col("qid") % 8).cast("int").alias("lane_no"), "rank")
-    names = F.element_at(F.array(*[F.lit(n) for n, _ in lx.LANES]), F.col("lane_no") + 1)
-    return hits.select("qid", "pid", names.alias("lane"), F.col("lane_no").alias("seen"), "rank")
+    lanes = cut(retrieval.lanes(asked).select((F.col("qid") * 8 + F.col("lane_no")).alias("qid"), "text"))
+    hits = retrieval.bm25(lanes, passages, per_lane).select("qid", "pid", F.lit(0).alias("dense"), "rank")
+    if embedder is not None:
+        base = cut(spread(passages.where("text is not null").select(F.col("pid").cast("long").alias("id"), "text")).select("id", embedder(F.col("text")).alias("vec")))
+        near = retrieval.neighbours(lanes.select("qid", embedder(F.col("text")).alias("vec")), base, per_lane)
+        hits = hits.unionByName(near.select("qid", F.col("id").alias("pid"), F.lit(1).alias("dense"), "rank"))
+    lane = F.pmod("qid", F.lit(8)).cast("int")
+    names = F.element_at(F.array(*[F.lit(n) for n, _ in lx.LANES]), lane + 1)
+    return hits.select(F.floor(F.col("qid") / 8).alias("qid"), "pid", names.alias("lane"), (2 * lane + F.col("dense")).alias("seen"), "rank")
 
 
 def fused(hits: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:
@@ -38,9 +45,9 @@ def fused(hits: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:
     return got.select("qid", "claim", "pid", "passage", F.col("rank").alias("rrf_rank"), "rrf", "lanes")
 
 
-def candidates(claims: DataFrame, passages: DataFrame, per_lane: int = 15) -> DataFrame:
-    """(qid, claim, pid, passage, rrf_rank, lanes): the fused candidates of each claim (qid, claim) over all lanes."""
-    return fused(lane_hits(claims, passages, per_lane), claims, passages)
+def candidates(claims: DataFrame, passages: DataFrame, per_lane: int = 15, embedder: Callable[[Column], Column] | None = verify.embed) -> DataFrame:
+    """(qid, claim, pid, passage, rrf_rank, lanes): the fused candidates of each claim (qid, claim) over all lanes and both retrievers."""
+    return fused(lane_hits(claims, passages, per_lane, embedder), claims, passages)
 
 
 def read(candidates: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
@@ -52,9 +59,9 @@ def read(candidates: DataFrame, k: int = 5, nli: Callable[[Column, Column], Colu
         F.col("n.probability").alias("probability"), sc.passage_quality(F.col("passage"), empty, empty, empty).alias("quality"))
 
 
-def scored(claims: DataFrame, passages: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
+def scored(claims: DataFrame, passages: DataFrame, k: int = 5, nli: Callable[[Column, Column], Column] = lexical_nli, embedder: Callable[[Column], Column] | None = verify.embed) -> DataFrame:
     """The k reranked passages of each claim with tier, reading and quality."""
-    return read(candidates(claims, passages), k, nli)
+    return read(candidates(claims, passages, embedder=embedder), k, nli)
 
 
 def verdicts(claims: DataFrame, evidence_rows: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def verdicts(claims: DataFrame, evidence_rows: DataFrame) -> DataFrame:
     return got.withColumn("verdict", v)
 
 
-def checked_facts(claims: DataFrame, facts: DataFrame | None, nli: Callable[[Column, Column], Column] = lexical_nli) -> DataFrame:
+def checked_facts(claims: DataFrame, facts: DataFrame | None, nli: Callable[[Column, Column], Column] = lexical_nli, embedder: Callable[[Column], Column] = verify.embed) -> DataFrame:
     """(qid, operating mode, truth and sureness of the tier-one match, fact_*): what the fact base says of claims (qid, claim).
 
     The mode comes from the claim itself, the fact result from its first triple, or from the claim where it has none;
@@ -82,7 +89,7 @@ def checked_facts(claims: DataFrame, facts: DataFrame | None, nli: Callable[[Col
     t = tx.triple(F.col("claim"))
     texts = F.array(F.col("claim"), F.concat_ws(" ", t["subject"], t["relation"], t["object"]))
     asked = claims.select("qid", F.posexplode(F.when(t.isNull(), F.slice(texts, 1, 1)).otherwise(texts)).alias("which", "claim"))
-    got = cut(verify.tier_one(asked.select((F.col("qid") * 2 + F.col("which")).alias("qid"), "claim"), facts, nli=nli))
+    got = cut(verify.tier_one(asked.select((F.col("qid") * 2 + F.col("which")).alias("qid"), "claim"), facts, embedder, nli))
     which, qid = F.pmod("qid", F.lit(2)), F.floor(F.col("qid") / 2).alias("qid")
     first = got.where(which == 0).select(qid, evidence.mode(F.col("match_type"), F.col("match_found"), F.col("nli_confidence")).alias("mode"), "truth", F.col("nli_confidence").alias("sure"))
     strong = F.max_by(F.struct("match_type", "verdict", "nli_confidence", "risk_level"), which)
@@ -92,7 +99,8 @@ def checked_facts(claims: DataFrame, facts: DataFrame | None, nli: Callable[[Col
     return first.join(last, "qid")
 
 
-def analyze(claims: DataFrame, passages: DataFrame, facts: DataFrame | None = None, nli: Callable[[Column, Column], Column] = lexical_nli, gloss: Callable[[Column], Column] | None = None) -> DataFrame:
+def analyze(claims: DataFrame, passages: DataFrame, facts: DataFrame | None = None, nli: Callable[[Column, Column], Column] = lexical_nli, gloss: Callable[[Column], Column] | None = None,
+            embedder: Callable[[Column], Column] = verify.embed) -> DataFrame:
     """One report row per part of a claim (qid, text), numbered by idx: route, mode, verdict, confidence, style, harm, risk, review.
 
     Personal questions are answered with the safety notice and never reach retrieval (F2). The rest is cleaned, or
@@ -105,13 +113,13 @@ def analyze(claims: DataFrame, passages: DataFrame, facts: DataFrame | None = No
     base = cut(claims.where("text is not null").select("qid", "text", clean.alias("claim"), tx.route(F.col("text")).alias("route")))
     parts = base.where("route = 'fact_check'").select(F.col("qid").alias("of"), "text", "route", F.posexplode(tx.sub_claims(F.col("claim"))).alias("idx", "claim"))
     parts = cut(parts.withColumn("idx", F.col("idx") + 1).withColumn("qid", F.monotonically_increasing_id()))  # a number of its own for each part, fixed by the cut
-    known = cut(parts.join(checked_facts(parts.select("qid", "claim"), facts, nli), "qid"))
+    known = cut(parts.join(checked_facts(parts.select("qid", "claim"), facts, nli, embedder), "qid"))
     empty = F.lit(None).cast("string")
     fast = known.where("mode = 'fast'")
     truth = F.coalesce(F.when(F.trim("truth") != "", F.col("truth")), F.col("claim"))
     fast = fast.select("qid", F.lit("guideline").alias("source_tier"), F.lit("SUPPORTS").alias("nli_verdict"), F.col("sure").alias("probability"), sc.passage_quality(truth, empty, empty, empty).alias("quality"))
     asked = cut(known.where("mode <> 'fast'").select("qid", "claim", "text"))
-    hits = cut(lane_hits(asked, passages, DEEP))
+    hits = cut(lane_hits(asked, passages, DEEP, embedder))
     standard = cut(read(fused(hits.where(F.col("rank") <= STANDARD), asked, passages), STANDARD, nli))
     signal = tx.any_contained(F.col("text"), lx.HARM_SIGNALS)
     s = evidence.summarize(asked, standard).join(asked.select("qid", signal.alias("signal")), "qid")

@@ -83,14 +83,15 @@ CHAIN = (f"{BASE}, l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.
          "vd AS (SELECT *, CASE WHEN sd IS NULL OR confidence < 0.45 OR mean_quality < 0.35 THEN 'INSUFFICIENT_EVIDENCE' WHEN support_count > 0 AND contradiction_count > 0 AND agreement < 0.7 THEN 'MIXED_EVIDENCE' WHEN contradiction_count > support_count AND confidence >= 0.65 THEN 'FALSE' "
          "WHEN contradiction_count > support_count THEN 'MOSTLY_FALSE' WHEN support_count > contradiction_count AND confidence >= 0.75 THEN 'SUPPORTED' WHEN support_count > contradiction_count THEN 'MOSTLY_SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM cv)")
 
-QUERIES["rrf_fusion"] = lambda s, d: pipeline.candidates(_claims(s, d), facts(s, d)).select("qid", "pid", F.round("rrf", 6).alias("rrf"), "lanes", "rrf_rank")
+# Up to calibrated_verdict only BM25 searches, as the SQL has no embedder; claim_report searches by vectors too.
+QUERIES["rrf_fusion"] = lambda s, d: pipeline.candidates(_claims(s, d), facts(s, d), embedder=None).select("qid", "pid", F.round("rrf", 6).alias("rrf"), "lanes", "rrf_rank")
 ORACLE["rrf_fusion"] = f"{CHAIN} SELECT qid, pid, round(rrf, 6) AS rrf, lanes, rrf_rank FROM cand"
-QUERIES["rerank_scored"] = lambda s, d: pipeline.scored(_claims(s, d), facts(s, d))
+QUERIES["rerank_scored"] = lambda s, d: pipeline.scored(_claims(s, d), facts(s, d), embedder=None)
 ORACLE["rerank_scored"] = f"{CHAIN} SELECT * FROM scored"
 
 
 def _verdicts(s, d):
-    ev = pipeline.scored(_claims(s, d), facts(s, d))
+    ev = pipeline.scored(_claims(s, d), facts(s, d), embedder=None)
     return pipeline.verdicts(_claims(s, d), ev)
 
 

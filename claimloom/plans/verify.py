@@ -105,7 +105,7 @@ def _ablation(s, d):
     num = lambda c: F.regexp_extract(c, r"(\d{8})", 1)
     q, f = R.queries(s, d), R.facts(s, d)
     gold = q.select("qid", num(F.col("text")).alias("n")).where("n != ''").join(f.select("pid", num(F.col("text")).alias("n")), "n").select("qid", "pid").distinct()
-    cand = pipeline.candidates(R._claims(s, d), f)
+    cand = pipeline.candidates(R._claims(s, d), f, embedder=None)  # as in its SQL
     ways = [("lexical", retrieval.bm25(q, f, 15).select("qid", "pid", "rank")), ("fused", cand.select("qid", "pid", F.col("rrf_rank").alias("rank"))), ("reranked", retrieval.rerank(cand, 15).select("qid", "pid", "rank"))]
     out = None
     for name, hits in ways:

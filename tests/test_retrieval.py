@@ -91,3 +91,13 @@ def test_report_parts_facts_and_depth(spark):
     deep = pipeline.read(pipeline.candidates(q, passages), 15)
     want = pipeline.verdicts(q, deep).first()
     assert deep.count() == 15 and (got[4, 1].verdict, got[4, 1].confidence) == (want.verdict, want.confidence)  # all 15 passages judge a deep claim
+
+
+def test_vectors_find_what_words_do_not(spark):
+    q = spark.createDataFrame([(1, "garlic")], "qid long, claim string")
+    p = spark.createDataFrame([(k, f"garlic number {k}") for k in range(20)] + [(99, "allium bulb")], "pid long, text string")
+    embedder = lambda c: F.when(c.startswith("garlic does") | (c == "allium bulb"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    got = {r.pid: r for r in pipeline.candidates(q, p, 3, embedder).collect()}
+    assert got[99].lanes == "contradiction" and got[99].rrf == round(1 / 61, 9)
+    assert 99 not in {r.pid for r in pipeline.candidates(q, p, 3, None).collect()}
+    assert set(pipeline.lane_hits(q, p, 3, embedder).select("seen").distinct().toPandas()["seen"]) == set(range(10))
