@@ -30,7 +30,7 @@ CONFUSIONS = (
 DIGITS = {"l": "1", "i": "1", "|": "1", "!": "1", "o": "0", "z": "2", "s": "5", "b": "6", "g": "9", "q": "9", "B": "8", "S": "5", "O": "0", "I": "1", "Z": "2", "$": "5", "G": "6", "A": "4", "T": "7"}
 _HYPHENS = "-¬‐‑­"
 _NUM = "<num>"
-#: A word or pair of words is in the language model from this share of the corpus on (and from LEAST occurrences), so
+#: A word or pair of words is in the list of every task from this share of the corpus on (and from LEAST occurrences), so
 #: that the model has at most 1 / SHARE words and as many pairs, whatever the corpus.
 SHARE = 2e-6
 LEAST = 4
@@ -129,8 +129,11 @@ def _counted(total: Counter, names: list[str]) -> Iterator[pa.RecordBatch]:
         total.clear()
 
 
-def word_counts(pages: DataFrame) -> dict[str, int]:
-    """The usual words of the corpus with their counts, at most 1 / SHARE; counted over all pages."""
+def word_counts(pages: DataFrame) -> tuple[dict[str, int], DataFrame | None]:
+    """The usual words of the corpus with their counts, at most 1 / SHARE; counted over all pages.
+
+    And the table (w, n) of all words from LEAST occurrences on, where the share leaves some of them out of the list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -145,7 +148,8 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     got = pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     got = cut(got)
     all_ = got.agg(F.sum("n")).first()[0] or 0
-    return {r.w: r.n for r in got.where(F.col("n") >= max(LEAST, all_ * SHARE)).collect()}
+    words = {r.w: r.n for r in got.where(F.col("n") >= max(LEAST, all_ * SHARE)).collect()}
+    return words, got.where(F.col("n") >= LEAST) if all_ * SHARE > LEAST else None
 
 
 def is_name(token: str) -> bool:
@@ -203,6 +207,54 @@ def inverse(token: str, edits: int = 2) -> dict[str, tuple[tuple[str, str], ...]
     return found
 
 
+def _outweighs(w: str) -> int:
+    """By what factor a word must be more usual than `w` to explain it as a misreading."""
+    return 3 if _ODD.search(w) else 8 if len(w) >= 6 else 25
+
+
+def _spread_words(schema: str, make) -> object:
+    """For mapInArrow: the rows that `make` has for each row, as columns of `schema`."""
+    kinds = [(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.string()) for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                rows = [x for r in zip(*[c.to_pylist() for c in b.slice(at, 512).columns], strict=True) for x in make(*r)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return run
+
+
+def page_words(text: str | None) -> set[str]:
+    """What the decoder may look up for a page: its words, words joined over a line's end, and parts at hyphens."""
+    found, last = set(), None
+    for line in (text or "").split("\n"):
+        ts = tokens(line)
+        if not ts:
+            continue
+        if last:
+            found |= {(last + ts[0]).lower(), f"{last}-{ts[0]}".lower()}
+        found.update(t.lower() for t in ts)
+        end = line.split()[-1].lstrip(_STRIP)
+        last = end.rstrip(_HYPHENS) if end and end[-1] in _HYPHENS else None
+    return found | {p for t in found if "-" in t for p in t.split("-") if p}
+
+
+def rare_words(pages: DataFrame, words: dict[str, int], counted: DataFrame) -> DataFrame:
+    """(id, rare): for each page the words outside the list, with counts, that its words are or may be misreadings of.
+
+    A word that a far more usual one explains is none. All by joins with the complete counted table.
+    """
+    rare = counted.where(~F.col("w").eqNullSafe(_NUM)).mapInArrow(_spread_words("w string, n long", lambda w, n: [(w, n)] if w not in words else []), "w string, n long")
+    one = "w string, v string, least long"
+    wrong = rare.mapInArrow(_spread_words(one, lambda w, n: [(w, v, _outweighs(w) * n) for v in inverse(w, 1)]), one)
+    wrong = wrong.join(counted.select(F.col("w").alias("v"), "n"), "v").where(F.col("n") >= F.col("least")).select("w")
+    rare = cut(rare.join(wrong, "w", "left_anti"))
+    has = cut(pages.select("raw_input_id", "extracted_text").mapInArrow(_spread_words("id string, t string", lambda i, text: [(i, t) for t in page_words(text)]), "id string, t string"))
+    may = has.select("t").distinct().mapInArrow(_spread_words("t string, w string", lambda t: [(t, t), *((t, v) for v in inverse(t, 1 if t in words else 2))]), "t string, w string")
+    return has.join(may.join(rare, "w"), "t").groupBy("id").agg(F.collect_set(F.struct("w", "n")).alias("rare"))  # the words of one page
+
+
 _ODD = re.compile(r"[0-9@+ſ|!$(]")
 
 
@@ -217,6 +269,15 @@ class Channel:
         self.words, self.pairs = dict(words), pairs
         self._purify()
         self.memo: dict[str, list[tuple[str, float]]] = {}
+        self.rare: list[str] = []
+
+    def turn(self, rare: list[dict] | None) -> None:
+        """Takes the rarer words of the next page in place of those of the last one."""
+        for w in self.rare:
+            del self.words[w]
+        new = {r["w"]: r["n"] for r in rare or () if r["w"] not in self.words}
+        self.rare = list(new)
+        self.words |= new
 
     def _purify(self) -> None:
         """Confusion probabilities from words that a far more usual word explains; those words leave the model.
@@ -234,7 +295,7 @@ class Channel:
             if w == _NUM:
                 continue
             best = max(((self.words.get(v, 0), how) for v, how in inverse(w, 1).items()), default=(0, ()), key=lambda x: x[0])
-            if best[0] >= (3 if _ODD.search(w) else 8 if len(w) >= 6 else 25) * n:
+            if best[0] >= _outweighs(w) * n:
                 wrong[w] = best[1][0]
                 seen[best[1][0]] += n
         self.chance = {c: (seen[c] + PRIOR * 50) / (might[c[0]] + 50) for c in CONFUSIONS}
@@ -513,17 +574,23 @@ def _pages(image_ingestion: DataFrame) -> DataFrame:
 
 def _decoded(image_ingestion: DataFrame, make, schema: str) -> DataFrame:
     pages = _pages(image_ingestion)
-    words = word_counts(pages)
+    words, counted = word_counts(pages)
     pairs, letters = pair_counts(pages, words)
     marks = running_lines(pages, words).groupBy("id").agg(F.collect_list("line_no").alias("running"))  # at most two a page
-    joined = pages.join(marks.withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left").select("raw_input_id", "extracted_text", "confidence", "number", "running")
+    joined = pages.join(marks.withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left")
+    if counted is None:
+        joined = joined.withColumn("rare", F.lit(None).cast("array<struct<w:string,n:bigint>>"))
+    else:
+        joined = joined.join(rare_words(pages, words, counted).withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left")
+    joined = joined.select("raw_input_id", "extracted_text", "confidence", "number", "running", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(words, pairs, letters)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 rows = []
-                for i, text, conf, number, running in zip(*[c.to_pylist() for c in b.slice(at, 1024).columns], strict=True):
+                for i, text, conf, number, running, rare in zip(*[c.to_pylist() for c in b.slice(at, 1024).columns], strict=True):
+                    channel.turn(rare)
                     rows += make(i, Page(text, set(running or ()), number, conf, channel))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 

@@ -75,3 +75,15 @@ def test_names_by_their_letters():
             letters[g] = letters.get(g, 0) + 1
     c = s.Channel({"said": 100}, {}, letters)
     assert c.candidates("Lafone")[0][0] == "lafone" and c.candidates("Lafonc")[0][0] == "lafone" and c.candidates("Lachetii")[0][0] == "lachetu"
+
+
+def test_words_below_the_share_are_proposed(spark, monkeypatch):
+    data, _ = pages(random.Random(5))
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(BODY) for _ in range(14)) + "."
+    for f in range(20):
+        data.append((f"img-{f + 20:09d}-001", f"{line()}\nthe doctor checked a {'glaucorna' if f == 7 else 'glaucoma'} before\n{line()}", 0.9, None))
+    monkeypatch.setattr(s, "SHARE", 5e-3)  # some 35 occurrences
+    got = {tuple(r) for r in s.defects(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert ("img-000000027-001", 2, "misread", "glaucoma") in got
+    assert not [x for x in got if x[3] == "glaucoma" and x[0] != "img-000000027-001"]
