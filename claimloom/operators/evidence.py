@@ -17,13 +17,16 @@ def lexical_nli(claim: Column, passage: Column) -> Column:
     return F.struct(F.when(share < 0.4, "NEI").when(no(c) != no(p), "REFUTES").otherwise("SUPPORTS").alias("verdict"), F.round(share, 6).alias("probability"))
 
 
-def summarize(claims: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row per claim (qid) from scored passages (qid, source_tier, nli_verdict, quality); claims without any stay (A1)."""
+def summarize(claims: DataFrame, scored: DataFrame, *more: Column) -> DataFrame:
+    """One row per claim (qid) from scored passages (qid, source_tier, nli_verdict, quality); claims without any stay (A1).
+
+    `more` are further aggregates of the passages.
+    """
     s, r = F.count_if(F.col("nli_verdict") == "SUPPORTS"), F.count_if(F.col("nli_verdict") == "REFUTES")
     got = scored.groupBy("qid").agg(
         s.alias("support_count"), r.alias("contradiction_count"), F.avg(F.coalesce("quality", F.lit(0.5))).alias("mean_quality"),
         F.max(F.col("source_tier").isin(*lx.GUIDELINE_TIERS)).alias("g"), F.max(F.col("source_tier") == "pubmed").alias("p"),
-        F.array_join(F.array_sort(F.collect_set("source_tier")), ",").alias("tiers"))
+        F.array_join(F.array_sort(F.collect_set("source_tier")), ",").alias("tiers"), *more)
     total = F.col("support_count") + F.col("contradiction_count")
     got = got.withColumn("agreement", F.when(total > 0, F.greatest("support_count", "contradiction_count") / total).otherwise(0.5))
     got = got.withColumn("best_tier", F.when(F.col("g"), "guideline").when(F.col("p"), "study").otherwise("journalism")).drop("g", "p")

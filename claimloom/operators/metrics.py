@@ -11,12 +11,17 @@ def _div(a, b):
 
 
 def class_report(pairs: DataFrame) -> DataFrame:
-    """(label, precision, recall, f1, support) of each class of pairs (y, p); a division by zero gives 0."""
-    cells = pairs.groupBy("y", "p").count()
-    labels = pairs.select(F.explode(F.array("y", "p")).alias("label")).distinct()
-    got = labels.join(F.broadcast(cells), (F.col("label") == F.col("y")) | (F.col("label") == F.col("p")), "left").groupBy("label").agg(  # classes x classes rows
-        F.sum(F.when((F.col("y") == F.col("label")) & (F.col("p") == F.col("label")), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("p") == F.col("label"), F.col("count")).otherwise(0)).alias("pp"), F.sum(F.when(F.col("y") == F.col("label"), F.col("count")).otherwise(0)).alias("support"))
+    """(label, precision, recall, f1, support) of each class of pairs (y, p); a division by zero gives 0.
+
+    Each pair counts once for its true and once for its predicted class, summed before the shuffle: one pass over `pairs`,
+    no join, and as many rows as classes per task.
+    """
+    cells = pairs.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
+    hit, none = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("y").alias("label"), hit.alias("tp"), none.alias("pp"), F.col("n").alias("support")),
+        F.struct(F.col("p").alias("label"), none.alias("tp"), F.col("n").alias("pp"), none.alias("support")))
+    got = cells.select(F.explode(sides).alias("s")).groupBy("s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "pp", "support")])
     prec, rec = _div(F.col("tp"), F.col("pp")), _div(F.col("tp"), F.col("support"))
     return got.select("label", prec.alias("precision"), rec.alias("recall"), _div(2 * prec * rec, prec + rec).alias("f1"), "support")
 
@@ -41,29 +46,40 @@ def matthews(pairs: DataFrame) -> DataFrame:
     return n.select(_div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
 
 
-def pr_curve(scored: DataFrame, levels: int = 1000) -> DataFrame:
-    """(threshold, precision, recall) of (y, score), scores rounded to 1 / levels.
+def pr_curve(scored: DataFrame, ranges: int = 64) -> DataFrame:
+    """(threshold, precision, recall) of (y, score) at every distinct score.
 
-    Counts are aggregated by score before the running sums, so the window holds at most levels + 1 rows.
+    Counts are aggregated by score first. The running sums are taken range by range of scores, on top of the sums of all
+    higher ranges, so that no task holds all thresholds. A null score ranks below all and has no row; null labels do
+    not count.
     """
-    by = scored.groupBy((F.round(F.col("score") * levels) / levels).alias("threshold")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by.select("threshold", (F.sum("pos").over(w) / F.sum("n").over(w)).alias("precision"), _div(F.sum("pos").over(w), F.sum("pos").over(all_)).alias("recall"))
+    by = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum("y").alias("pos"), F.count("y").alias("n"))
+    by = by.withColumn("part", F.least(F.greatest(F.floor(F.col("threshold") * ranges), F.lit(0)), F.lit(ranges - 1)).cast("int"))  # scores outside 0 to 1 join the outer ranges
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    sums = by.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    total = F.sum("p").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sums = sums.select("part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m"), total.alias("all"))
+    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    pos, n = F.col("p") + F.sum("pos").over(w), F.col("m") + F.sum("n").over(w)
+    return by.join(F.broadcast(sums), "part").select("threshold", _div(pos, n).alias("precision"), _div(pos, F.col("all")).alias("recall")).where("threshold is not null")  # at most `ranges` rows broadcast
+
+
+def _binned(scored: DataFrame, bins: int) -> DataFrame:
+    """(bin, n, mean_prob, accuracy, squares) of (y, prob); every bin has a row, empty ones of zeros."""
+    b = F.least(F.floor(F.col("prob") * bins), F.lit(bins - 1)).cast("int")
+    got = scored.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"), F.avg(F.col("y").cast("double")).alias("accuracy"), F.sum((F.col("prob") - F.col("y")) ** 2).alias("squares"))
+    return scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0)
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_prob, accuracy) of (y, prob); every bin has a row, empty ones of zeros (A5)."""
-    b = F.least(F.floor(F.col("prob") * bins), F.lit(bins - 1)).cast("int")
-    got = scored.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"), F.avg(F.col("y").cast("double")).alias("accuracy"))
-    return scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0)
+    return _binned(scored, bins).drop("squares")
 
 
 def brier_ece(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """One row: Brier score and expected calibration error of (y, prob) (A4, A5)."""
-    r = reliability(scored, bins)
-    ece = r.agg(_div(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_prob"))), F.sum("n")).alias("ece"), F.sum("n").alias("n"))
-    return scored.agg(F.coalesce(F.avg((F.col("prob") - F.col("y")) ** 2), F.lit(0.0)).alias("brier")).crossJoin(F.broadcast(ece))  # one row
+    """One row: Brier score and expected calibration error of (y, prob), from one pass (A4, A5)."""
+    n = F.sum("n")
+    return _binned(scored, bins).agg(_div(F.sum("squares"), n).alias("brier"), _div(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_prob"))), n).alias("ece"), n.alias("n"))
 
 
 def confidence_buckets(scored: DataFrame) -> DataFrame:

@@ -66,9 +66,7 @@ def scored(claims: DataFrame, passages: DataFrame, k: int = 5, nli: Callable[[Co
 
 def verdicts(claims: DataFrame, evidence_rows: DataFrame) -> DataFrame:
     """The evidence summary, confidence and verdict of each claim (A1, A3, X45, X46); a claim without passages is insufficient."""
-    s = evidence.summarize(claims, evidence_rows)
-    sd = evidence_rows.groupBy("qid").agg(F.stddev_pop("probability").alias("sd"))
-    got = s.join(sd, "qid", "left")
+    got = evidence.summarize(claims, evidence_rows, F.stddev_pop("probability").alias("sd"))
     conf = F.when(F.col("sd").isNull(), F.lit(0.20)).otherwise(sc.calibrated_confidence(F.col("mean_quality"), F.col("agreement"), F.col("sd"), F.lit(0.75)))
     got = got.withColumn("confidence", F.round(conf, 4))
     v = F.when(F.col("sd").isNull(), "INSUFFICIENT_EVIDENCE").otherwise(

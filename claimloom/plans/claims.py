@@ -23,11 +23,11 @@ _T = "[" + ", ".join(S.q(t) for t in TEMPLATES) + "]"
 CLAIMS = f"WITH claims AS (SELECT claim_id AS qid, claim || ' ' || {_T}[(claim_id % {len(TEMPLATES)})::INT + 1] AS text FROM final_health_claims WHERE claim IS NOT NULL)"
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, text): every claim with the sentence of its identifier."""
-    c = text_table(spark, d, "final_health_claims", "claim_id", "claim").where("claim is not null")
+def claims(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """(qid, text, more...): every claim with the sentence of its identifier."""
+    c = text_table(spark, d, "final_health_claims", "claim_id", "claim", *more).where("claim is not null")
     t = F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), (F.col("claim_id") % len(TEMPLATES)).cast("int") + 1)
-    return c.select(F.col("claim_id").alias("qid"), F.concat("claim", F.lit(" "), t).alias("text"))
+    return c.select(F.col("claim_id").alias("qid"), F.concat("claim", F.lit(" "), t).alias("text"), *more)
 
 
 QUERIES, ORACLE = {}, {}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import learning
-from ..session import cut
+from ..session import place
 from ..sources import readers, sinks
 from ..sources.tables import table
 from ..streaming import flows
@@ -15,14 +13,8 @@ from ..streaming import flows
 QUERIES, ORACLE = {}, {}
 
 
-def _place(s) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    cut(s.range(1))
-    return f"{s.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def _csv(s, d):
-    at = _place(s)
+    at = place(s)
     sinks.predictions(table(s, d, "final_health_claims").select("claim", F.regexp_extract("label", "([01])", 1).alias("label")), at)
     return readers.labelled_claims(s, at).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("claim")).alias("characters"))
 
@@ -32,7 +24,7 @@ ORACLE["csv_round_trip"] = "SELECT regexp_extract(label, '([01])', 1)::INT AS la
 
 
 def _json(s, d):
-    at = _place(s)
+    at = place(s)
     sinks.json_lines(table(s, d, "golden_candidates_v0"), at)
     return readers.json_lines(s, at).groupBy("expected_class", "review_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("evidence_urls")).alias("urls"), F.count("reviewer").alias("reviewed"))
 
@@ -42,7 +34,7 @@ ORACLE["json_round_trip"] = "SELECT expected_class, review_status, count(*) AS n
 
 
 def _stream(s, d):
-    at = _place(s)
+    at = place(s)
     docs = table(s, d, "documents").where("text is not null")
     docs.select("text").write.option("lineSep", "\n").mode("overwrite").format("parquet").save(f"{at}/src")
     q = flows.assess(s.readStream.schema("text string").parquet(f"{at}/src")).select("route", "needs_review")
@@ -55,7 +47,7 @@ QUERIES["stream_claims"] = _stream
 
 
 def _windows(s, d):
-    at = _place(s)
+    at = place(s)
     table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(f"{at}/src")
     ev = s.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{at}/src")
     # complete mode: in append mode the last windows wait for a watermark that a finite table never brings

@@ -73,10 +73,10 @@ ORACLE["threshold_sweep"] = f"SELECT t::DOUBLE AS threshold, count(*) AS n, coun
 
 
 def scored(s, d):
-    """(qid, y, prob, p): label, style as probability and its class, of claims with a label."""
-    lab = table(s, d, "final_health_claims").select(F.col("claim_id").alias("qid"), F.regexp_extract("label", "([01])", 1).try_cast("int").alias("y"))
-    c = claims(s, d).select("qid", sc.style_score(F.col("text")).alias("prob"))
-    return c.join(lab, "qid").where("y is not null").select("qid", "y", "prob", (F.col("prob") > 0.3).cast("int").alias("p"))
+    """(qid, y, prob, p): label, style as probability and its class, of claims with a label; one scan."""
+    c = claims(s, d, "label").select("qid", "text", F.regexp_extract("label", "([01])", 1).try_cast("int").alias("y")).where("y is not null")
+    c = c.select("qid", "y", sc.style_score(F.col("text")).alias("prob"))
+    return c.select("qid", "y", "prob", (F.col("prob") > 0.3).cast("int").alias("p"))
 
 
 _SC = CLAIMS + "," + STYLE_SQL + ", sc AS (SELECT s.qid, y, style AS prob, (style > 0.3)::INT AS p FROM style s JOIN (SELECT claim_id AS qid, try_cast(nullif(regexp_extract(label, '([01])', 1), '') AS INT) AS y FROM final_health_claims) USING (qid) WHERE y IS NOT NULL)"
@@ -97,8 +97,8 @@ QUERIES["confusion_matrix"] = lambda s, d: metrics.confusion(scored(s, d))
 ORACLE["confusion_matrix"] = _SC + " SELECT y, count(*) FILTER (WHERE p = 0) AS p0, count(*) FILTER (WHERE p = 1) AS p1 FROM sc GROUP BY y"
 QUERIES["matthews"] = lambda s, d: metrics.matthews(scored(s, d)).select(F.round("mcc", 6).alias("mcc"))
 ORACLE["matthews"] = _SC + ", c AS (SELECT sum(y * p)::DOUBLE AS tp, sum((1 - y) * (1 - p))::DOUBLE AS tn, sum((1 - y) * p)::DOUBLE AS fp, sum(y * (1 - p))::DOUBLE AS fn FROM sc) SELECT round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc FROM c"
-QUERIES["pr_curve"] = lambda s, d: metrics.pr_curve(scored(s, d).withColumnRenamed("prob", "score"), 100).select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
-ORACLE["pr_curve"] = _SC + ", b AS (SELECT round(prob * 100) / 100 AS threshold, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1) SELECT threshold, round(sum(pos) OVER w / sum(n) OVER w, 6)::DOUBLE AS precision, round(sum(pos) OVER w / (SELECT sum(pos) FROM b), 6)::DOUBLE AS recall FROM b WINDOW w AS (ORDER BY threshold DESC)"
+QUERIES["pr_curve"] = lambda s, d: metrics.pr_curve(scored(s, d).withColumnRenamed("prob", "score")).select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+ORACLE["pr_curve"] = _SC + ", b AS (SELECT prob AS threshold, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1) SELECT threshold, round(sum(pos) OVER w / sum(n) OVER w, 6)::DOUBLE AS precision, round(sum(pos) OVER w / (SELECT sum(pos) FROM b), 6)::DOUBLE AS recall FROM b WINDOW w AS (ORDER BY threshold DESC)"
 QUERIES["safety_audit"] = lambda s, d: metrics.safety(scored(s, d).select((F.col("y") == 1).alias("dangerous"), (F.col("p") == 1).alias("flagged"))).select("tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "fn_rate", "fp_rate")])
 ORACLE["safety_audit"] = _SC + ", c AS (SELECT sum(y * p)::BIGINT AS tp, sum(y * (1 - p))::BIGINT AS fn, sum((1 - y) * p)::BIGINT AS fp, sum((1 - y) * (1 - p))::BIGINT AS tn FROM sc) SELECT *, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(fn::DOUBLE / (tp + fn), 6) AS fn_rate, round(fp::DOUBLE / (fp + tn), 6) AS fp_rate FROM c"
 QUERIES["class_weights"] = lambda s, d: metrics.class_weights(table(s, d, "verified_facts"), "verdict").withColumn("weight", F.round("weight", 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +28,43 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
     return s
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, where all executors can write and read.
+
+    Without one, a local session, as in tests, takes a temporary folder; a cluster is refused, since a machine's own
+    folder would be lost with the machine.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="claimloom-"))
+        named = sc.getCheckpointDir()
+    return f"{named.rstrip('/')}/claimloom-{sc.applicationId}"
+
+
+def place(spark: SparkSession) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, its lineage cut.
+    """`df` written once, as a compressed table in the shared folder, and read from there: its lineage is cut.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where none is set, as in local tests,
-    a temporary folder takes its place. The files survive the loss of an executor.
+    What is read later prunes columns and pushes filters down as on any table. The files survive the loss of an
+    executor; `release` removes them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimloom-"))
-    return df.checkpoint(eager=True)
+    at = place(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def release(spark: SparkSession) -> bool:
+    """Removes every table that `cut` wrote in this session; False if there was none. Results that read them end here."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))
 
 
 def spread(df: DataFrame) -> DataFrame:

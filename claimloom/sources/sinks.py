@@ -46,7 +46,7 @@ def invalidate(spark: SparkSession, path: str) -> bool:
 
 
 def markdown(report: DataFrame, title: str) -> str:
-    """A few rows of metrics as a Markdown table."""
-    rows = report.limit(100).collect()
+    """All rows of a report as a Markdown table, taken to the driver a partition at a time; meant for aggregates."""
     head = report.columns
-    return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), ""])
+    rows = ("| " + " | ".join(str(x) for x in r) + " |" for r in report.toLocalIterator())
+    return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *rows, ""])
