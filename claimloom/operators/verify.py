@@ -22,25 +22,30 @@ STOP = "the a an and or of to in on for with is are was were be been not no it t
 
 
 def embed(c: Column, dim: int = DIM) -> Column:
-    """The default embedder (D2): words hashed into a unit vector. A neural one takes its place as an Arrow function."""
+    """The default embedder (D2): words hashed into a unit vector, the zero vector for a text without any. A neural one takes its place as an Arrow function."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-        import zlib
+        import hashlib
 
+        known: dict[str, tuple[int, float]] = {}
         for s in batches:
             out = []
-            for t in s:
+            for ws in s:
                 v = np.zeros(dim)
-                for w in re.findall(r"[^\W_]+", (t or "").lower()):
-                    h = zlib.crc32(w.encode())
-                    v[h % dim] += 1.0 if h & 0x80000000 else -1.0
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).astype(np.float32))
+                for w in ws if ws is not None else ():
+                    at = known.get(w)
+                    if at is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        h = hashlib.md5(w.encode()).digest()
+                        at = known[w] = h[0] % dim, 1.0 if h[1] >= 128 else -1.0
+                    v[at[0]] += at[1]
+                n = np.sqrt((v * v).sum())
+                out.append(v / n if n else v)
             yield pd.Series(out)
 
-    return run(c)
+    return run(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def topics(c: Column) -> Column:

@@ -52,7 +52,7 @@ def _knn(metric):
 for _m, _e, _o in (("l2", "pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)", "ASC"), ("cosine", "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", "DESC")):
     QUERIES[f"knn_{_m}"] = _knn(_m)
     ORACLE[f"knn_{_m}"] = (f"WITH x AS (SELECT a.vec_id AS qid, b.vec_id AS id, {_e} AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT qid, id, round(v, 6) + 0.0 AS score, rank FROM "
-                           f"(SELECT qid, id, v, row_number() OVER (PARTITION BY qid ORDER BY round(v, 12) {_o}, id)::INT AS rank FROM x) WHERE rank <= 5")
+                           f"(SELECT qid, id, v, row_number() OVER (PARTITION BY qid ORDER BY round(v, 9) {_o}, id)::INT AS rank FROM x) WHERE rank <= 5")
 
 _lane_sql = " UNION ALL ".join(
     f"SELECT qid, {k} AS lane_no, {S.q(n)} AS lane, {S.q(t).replace('{c}', chr(39) + ' || c || ' + chr(39)).replace('{s}', chr(39) + ' || s || ' + chr(39)).replace('{o}', chr(39) + ' || o || ' + chr(39))} AS text FROM l0" for k, (n, t) in enumerate(lx.LANES))
@@ -65,9 +65,10 @@ def _claims(s, d):
     return queries(s, d).select("qid", F.col("text").alias("claim"))
 
 
-CHAIN = (f"{BASE}, l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.DEFAULT_OUTCOME)} AS o FROM q), lanes AS ({_lane_sql}), lq AS (SELECT qid * 8 + lane_no AS qid, text FROM lanes), {bm25_sql('b', 'lq', 15)}, "
-         f"hits AS (SELECT qid // 8 AS qid, pid, qid % 8 AS lane_no, rank, [{', '.join(S.q(n) for n, _ in lx.LANES)}][(qid % 8)::INT + 1] AS lane FROM b), "
-         "fused AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, array_to_string(list_sort(list(DISTINCT lane)), ',') AS lanes, min(lane_no * 1000000 + rank) AS first FROM hits GROUP BY 1, 2), "
+CHAIN = (f"{BASE}, l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.DEFAULT_OUTCOME)} AS o FROM q), lanes AS ({_lane_sql}), lq AS (SELECT qid * 8 + lane_no AS qid, text FROM lanes), {bm25_sql('b', 'lq', 15)}, {S.embedded('lq', 'lq', 'qid', 'text')}, {S.embedded('p', 'p', 'pid', 'text')}, {S.distances('near', 'lq', 'p')}, "
+         "lane_hits AS (SELECT qid, pid, rank, 0 AS dense FROM b UNION ALL SELECT qid, pid, rank, 1 AS dense FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score, pid)::INT AS rank FROM near) WHERE rank <= 15), "
+         f"hits AS (SELECT qid // 8 AS qid, pid, 2 * (qid % 8) + dense AS seen, rank, [{', '.join(S.q(n) for n, _ in lx.LANES)}][(qid % 8)::INT + 1] AS lane FROM lane_hits), "
+         "fused AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, array_to_string(list_sort(list(DISTINCT lane)), ',') AS lanes, min(seen * 1000000 + rank) AS first FROM hits GROUP BY 1, 2), "
          "cand AS (SELECT qid, pid, rrf, lanes, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first, pid)::INT AS rrf_rank FROM fused), "
          f"cw AS (SELECT cand.*, list_distinct({S.words('q.text')}) AS c, list_distinct({S.words('p.text')}) AS w, p.text AS passage FROM cand JOIN q USING (qid) JOIN p USING (pid)), "
          "rr AS (SELECT *, len(list_intersect(c, w)) / (len(c) + 1.0::DOUBLE) AS rs FROM cw), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, rrf_rank)::INT AS rank FROM rr), "
@@ -83,15 +84,14 @@ CHAIN = (f"{BASE}, l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.
          "vd AS (SELECT *, CASE WHEN sd IS NULL OR confidence < 0.45 OR mean_quality < 0.35 THEN 'INSUFFICIENT_EVIDENCE' WHEN support_count > 0 AND contradiction_count > 0 AND agreement < 0.7 THEN 'MIXED_EVIDENCE' WHEN contradiction_count > support_count AND confidence >= 0.65 THEN 'FALSE' "
          "WHEN contradiction_count > support_count THEN 'MOSTLY_FALSE' WHEN support_count > contradiction_count AND confidence >= 0.75 THEN 'SUPPORTED' WHEN support_count > contradiction_count THEN 'MOSTLY_SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM cv)")
 
-# Up to calibrated_verdict only BM25 searches, as the SQL has no embedder; claim_report searches by vectors too.
-QUERIES["rrf_fusion"] = lambda s, d: pipeline.candidates(_claims(s, d), facts(s, d), embedder=None).select("qid", "pid", F.round("rrf", 6).alias("rrf"), "lanes", "rrf_rank")
+QUERIES["rrf_fusion"] = lambda s, d: pipeline.candidates(_claims(s, d), facts(s, d)).select("qid", "pid", F.round("rrf", 6).alias("rrf"), "lanes", "rrf_rank")
 ORACLE["rrf_fusion"] = f"{CHAIN} SELECT qid, pid, round(rrf, 6) AS rrf, lanes, rrf_rank FROM cand"
-QUERIES["rerank_scored"] = lambda s, d: pipeline.scored(_claims(s, d), facts(s, d), embedder=None)
+QUERIES["rerank_scored"] = lambda s, d: pipeline.scored(_claims(s, d), facts(s, d))
 ORACLE["rerank_scored"] = f"{CHAIN} SELECT * FROM scored"
 
 
 def _verdicts(s, d):
-    ev = pipeline.scored(_claims(s, d), facts(s, d), embedder=None)
+    ev = pipeline.scored(_claims(s, d), facts(s, d))
     return pipeline.verdicts(_claims(s, d), ev)
 
 
