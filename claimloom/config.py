@@ -8,15 +8,13 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    per_lane: int = 15
-    rerank: int = 5
+    """Passages per lane and claim in the standard and the deep mode, the constant of rank fusion, floors of review."""
+
+    standard: int = 5
+    deep: int = 15
     fusion_k: int = 60
-    strong_distance: float = 0.82
-    nli_floor: float = 0.65
-    answer_floor: float = 0.6
     review_confidence: float = 0.60
     review_harm: float = 0.65
-    tokenizers: str = "/opt/tokenizers"
 
     @staticmethod
     def read(spark=None) -> Settings:

@@ -53,6 +53,12 @@ def escalate(harm_signal: Column, supports: Column, refutes: Column, agreement:
     return harm_signal | (refutes > 0) | ((supports + refutes > 0) & (agreement < floor))
 
 
+def escalation(harm_signal: Column, supports: Column, refutes: Column, agreement: Column, floor: float = 0.70) -> Column:
+    """Why a claim needs the deep mode, null if it does not."""
+    why = F.when(harm_signal, "harm_signal").when(refutes > 0, F.concat(F.lit("contradiction_count="), refutes.cast("string"))).otherwise(F.format_string("agreement_ratio=%.2f", agreement))
+    return F.when(escalate(harm_signal, supports, refutes, agreement, floor), why)
+
+
 def majority(votes: DataFrame, verbal: float = 0.5) -> DataFrame:
     """(qid, votes..., verdict, share, hybrid) from votes (qid, verdict): self-consistency.
 

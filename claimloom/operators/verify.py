@@ -76,8 +76,9 @@ def tier_one(claims: DataFrame, facts: DataFrame, embedder: Callable[[Column], C
     """One result per claim (qid, claim): what the fact base says.
 
     STRONG within the distance and on topic, WEAK on topic beyond it with a sure reading, else NONE and UNVERIFIED. A
-    claim always has a row.
+    claim always has a row. Facts may name their source.
     """
+    facts = facts if "source" in facts.columns else facts.withColumn("source", F.lit(None).cast("string"))
     m = nearest_fact(claims, facts, embedder).withColumn("n", nli(F.col("claim"), F.col("scientific_truth")))
     topic = F.coalesce(same_topic(F.col("claim"), F.concat_ws(" ", "claim_subject", "scientific_truth")), F.lit(False))
     sure = F.col("n.probability") >= NLI_FLOOR
@@ -87,7 +88,7 @@ def tier_one(claims: DataFrame, facts: DataFrame, embedder: Callable[[Column], C
     v = evidence.table_verdict(tx.normalize_verdict(F.col("verdict")), F.col("n.verdict"))
     got = lambda c: F.when(found, F.col(c))
     return m.select("qid", "match_type", found.alias("match_found"), F.round("distance", 6).alias("match_score"), F.when(found, v).otherwise("UNVERIFIED").alias("verdict"), got("fact_id").alias("fact_id"),
-                    got("scientific_truth").alias("truth"), got("risk_level").alias("risk_level"), got("n.verdict").alias("nli_verdict"), got("n.probability").alias("nli_confidence"))
+                    got("scientific_truth").alias("truth"), got("risk_level").alias("risk_level"), got("source").alias("source"), got("n.verdict").alias("nli_verdict"), got("n.probability").alias("nli_confidence"))
 
 
 def with_answers(tier: DataFrame, answers: DataFrame) -> DataFrame:

@@ -45,10 +45,14 @@ def _clean_sql(col: str) -> str:
     return e
 
 
-ORACLE["clean_claim"] = (CLAIMS + f", a AS (SELECT qid, {_clean_sql('text')} AS t FROM claims), "
-                         "b AS (SELECT qid, t, list_filter(range(1, len(t)::BIGINT + 1), i -> NOT (i > 2 AND t[i] = t[i-1] AND t[i] = t[i-2] AND t[i] <> chr(10))) AS k FROM a) "
-                         f"SELECT qid, {S.squeeze('list_aggregate(list_transform(k, i -> t[i]), ' + S.q('string_agg') + ', ' + S.q('') + ')')} AS cleaned FROM b")
-ORACLE["clean_claim"] = ORACLE["clean_claim"].replace("list_aggregate(", "array_to_string(").replace(", 'string_agg', '')", ", '')")
+def clean_sql(source: str, name: str) -> str:
+    """CTE `name`: the rows of `source` (text) with their cleaned claim, in `cleaned`."""
+    twice = "list_filter(range(1, len(t)::BIGINT + 1), i -> NOT (i > 2 AND t[i] = t[i-1] AND t[i] = t[i-2] AND t[i] <> chr(10)))"
+    whole = "array_to_string(list_transform(k, i -> t[i]), '')"
+    return f"{name}0 AS (SELECT *, {_clean_sql('text')} AS t FROM {source}), {name}1 AS (SELECT *, {twice} AS k FROM {name}0), {name} AS (SELECT *, {S.squeeze(whole)} AS cleaned FROM {name}1)"
+
+
+ORACLE["clean_claim"] = f"{CLAIMS}, {clean_sql('claims', 'b')} SELECT qid, cleaned FROM b"
 
 QUERIES["normalize_text"] = lambda s, d: text_table(s, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", tx.normalize(F.col("text")).alias("normalized"))
 ORACLE["normalize_text"] = "SELECT doc_id, " + S.strip(f"regexp_replace(regexp_replace(lower(text), {S.q(S.S + '+')}, ' ', 'g'), '[!?]{{2,}}', '!', 'g')").replace("{{", "{").replace("}}", "}") + " AS normalized FROM documents WHERE text IS NOT NULL"

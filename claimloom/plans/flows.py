@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lx
 from ..operators import learning
 from ..session import place
 from ..sources import readers, sinks
 from ..sources.tables import table
 from ..streaming import flows
+from . import claims as C
+from . import sql as S
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,6 +47,9 @@ def _stream(s, d):
 
 
 QUERIES["stream_claims"] = _stream
+_harm = C.HARM_SQL.replace("(qid % 100) / 100.0::DOUBLE AS conf", "0.5::DOUBLE AS conf")
+ORACLE["stream_claims"] = (f"WITH claims AS (SELECT row_number() OVER () AS qid, text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''), {_harm} "
+                           f"SELECT CASE WHEN {S.word('text', lx.ADVICE)} THEN 'medical_advice' ELSE 'fact_check' END AS route, needs_review, count(*) AS documents FROM claims JOIN harm USING (qid) GROUP BY 1, 2")
 
 
 def _windows(s, d):

@@ -65,24 +65,48 @@ def _claims(s, d):
     return queries(s, d).select("qid", F.col("text").alias("claim"))
 
 
-CHAIN = (f"{BASE}, l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.DEFAULT_OUTCOME)} AS o FROM q), lanes AS ({_lane_sql}), lq AS (SELECT qid * 8 + lane_no AS qid, text FROM lanes), {bm25_sql('b', 'lq', 15)}, {S.embedded('lq', 'lq', 'qid', 'text')}, {S.embedded('p', 'p', 'pid', 'text')}, {S.distances('near', 'lq', 'p')}, "
-         "lane_hits AS (SELECT qid, pid, rank, 0 AS dense FROM b UNION ALL SELECT qid, pid, rank, 1 AS dense FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score, pid)::INT AS rank FROM near) WHERE rank <= 15), "
-         f"hits AS (SELECT qid // 8 AS qid, pid, 2 * (qid % 8) + dense AS seen, rank, [{', '.join(S.q(n) for n, _ in lx.LANES)}][(qid % 8)::INT + 1] AS lane FROM lane_hits), "
-         "fused AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, array_to_string(list_sort(list(DISTINCT lane)), ',') AS lanes, min(seen * 1000000 + rank) AS first FROM hits GROUP BY 1, 2), "
-         "cand AS (SELECT qid, pid, rrf, lanes, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first, pid)::INT AS rrf_rank FROM fused), "
-         f"cw AS (SELECT cand.*, list_distinct({S.words('q.text')}) AS c, list_distinct({S.words('p.text')}) AS w, p.text AS passage FROM cand JOIN q USING (qid) JOIN p USING (pid)), "
-         "rr AS (SELECT *, len(list_intersect(c, w)) / (len(c) + 1.0::DOUBLE) AS rs FROM cw), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, rrf_rank)::INT AS rank FROM rr), "
-         "top AS (SELECT *, list_has_any(c, ['not', 'no', 'isn', 'doesn', 'nahi', 'never']) AS nc, list_has_any(w, ['not', 'no', 'isn', 'doesn', 'nahi', 'never']) AS np FROM rk WHERE rank <= 5), "
-         f"scored AS (SELECT qid, pid, rank, round(rs, 6) AS rerank_score, {S.case('passage', {k: k for k in lx.SOURCE_WEIGHTS}, 'journalism')} AS source_tier, CASE WHEN rs < 0.4 THEN 'NEI' WHEN nc <> np THEN 'REFUTES' ELSE 'SUPPORTS' END AS nli_verdict, "
-         f"round(rs, 6) AS probability, round(0.35 * {S.case('passage', lx.SOURCE_WEIGHTS, 0.5)} + 0.2 * CASE WHEN {S.has('passage', lx.FAST_MOVING)} THEN greatest(0.2, 1 - age * 0.15) ELSE greatest(0.5, 1 - age * 0.03) END + 0.25 * 0.7 + 0.2 * 0.75, 4)::DOUBLE AS quality "
-         r"FROM (SELECT *, greatest(0, 2026 - coalesce(try_cast(nullif(regexp_extract(passage, '(?:^|[^\p{L}\p{N}_])((?:19|20)[0-9][0-9])(?:$|[^\p{L}\p{N}_])', 1), '') AS INT), 2020)) AS age FROM top)), "
-         "summary AS (SELECT qid, count(*) FILTER (WHERE nli_verdict = 'SUPPORTS') AS support_count, count(*) FILTER (WHERE nli_verdict = 'REFUTES') AS contradiction_count, avg(quality) AS mean_quality, stddev_pop(probability) AS sd, "
-         "bool_or(source_tier IN ('who', 'icmr', 'nih', 'guideline')) AS g, bool_or(source_tier = 'pubmed') AS pm, array_to_string(list_sort(list(DISTINCT source_tier)), ',') AS tiers FROM scored GROUP BY qid), "
-         "ev AS (SELECT q.qid, coalesce(support_count, 0) AS support_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(mean_quality, 0) AS mean_quality, sd, coalesce(tiers, '') AS tiers, "
-         "CASE WHEN g IS NULL THEN 'none' WHEN g THEN 'guideline' WHEN pm THEN 'study' ELSE 'journalism' END AS best_tier, CASE WHEN g IS NULL THEN 0.0 WHEN support_count + contradiction_count > 0 THEN greatest(support_count, contradiction_count)::DOUBLE / (support_count + contradiction_count) ELSE 0.5 END::DOUBLE AS agreement FROM q LEFT JOIN summary USING (qid)), "
-         "cv AS (SELECT *, CASE WHEN sd IS NULL THEN 0.2 ELSE round(1 / (1 + exp(-(2.5 * mean_quality + 2.0 * agreement - 1.5 * sd + 1.2 * 0.75 - 1.8))), 4) END::DOUBLE AS confidence FROM ev), "
-         "vd AS (SELECT *, CASE WHEN sd IS NULL OR confidence < 0.45 OR mean_quality < 0.35 THEN 'INSUFFICIENT_EVIDENCE' WHEN support_count > 0 AND contradiction_count > 0 AND agreement < 0.7 THEN 'MIXED_EVIDENCE' WHEN contradiction_count > support_count AND confidence >= 0.65 THEN 'FALSE' "
-         "WHEN contradiction_count > support_count THEN 'MOSTLY_FALSE' WHEN support_count > contradiction_count AND confidence >= 0.75 THEN 'SUPPORTED' WHEN support_count > contradiction_count THEN 'MOSTLY_SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM cv)")
+def lanes_sql(q: str, k: int) -> str:
+    """CTEs that end in lq (searches) and hits: the k best passages of `p` of each lane of the claims of `q` (qid, text), by BM25 and by vectors."""
+    return (f"l0 AS (SELECT qid, trim(text) AS c, trim(text) AS s, {S.q(lx.DEFAULT_OUTCOME)} AS o FROM {q}), lanes AS ({_lane_sql}), lq AS (SELECT qid * 8 + lane_no AS qid, text FROM lanes), {bm25_sql('b', 'lq', k)}, "
+            f"{S.embedded('lq', 'lq', 'qid', 'text')}, {S.embedded('p', 'p', 'pid', 'text')}, {S.distances('near', 'lq', 'p')}, "
+            f"lane_hits AS (SELECT qid, pid, rank, 0 AS dense FROM b UNION ALL SELECT qid, pid, rank, 1 AS dense FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score, pid)::INT AS rank FROM near) WHERE rank <= {k}), "
+            f"hits AS (SELECT qid // 8 AS qid, pid, 2 * (qid % 8) + dense AS seen, rank, [{', '.join(S.q(n) for n, _ in lx.LANES)}][(qid % 8)::INT + 1] AS lane FROM lane_hits)")
+
+
+def quality_sql(c: str) -> str:
+    """The quality of a passage `c` of unknown subject, outcome and population."""
+    year = rf"coalesce(try_cast(nullif(regexp_extract({c}, '(?:^|[^\p{{L}}\p{{N}}_])((?:19|20)[0-9][0-9])(?:$|[^\p{{L}}\p{{N}}_])', 1), '') AS INT), 2020)"
+    age = f"greatest(0, 2026 - {year})"
+    return f"round(0.35 * {S.case(c, lx.SOURCE_WEIGHTS, 0.5)} + 0.2 * CASE WHEN {S.has(c, lx.FAST_MOVING)} THEN greatest(0.2, 1 - {age} * 0.15) ELSE greatest(0.5, 1 - {age} * 0.03) END + 0.25 * 0.7 + 0.2 * 0.75, 4)::DOUBLE"
+
+
+NEGATIONS = "['not', 'no', 'isn', 'doesn', 'nahi', 'never']"
+
+
+def read_sql(x: str, hits: str, q: str, k: int) -> str:
+    """CTEs {x}cand, {x}rk and {x}scored: fused, reranked and read passages of the claims of `q` (qid, text) from `hits`."""
+    return (f"{x}fused AS (SELECT qid, pid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, array_to_string(list_sort(list(DISTINCT lane)), ',') AS lanes, min(seen * 1000000 + rank) AS first FROM {hits} GROUP BY 1, 2), "
+            f"{x}cand AS (SELECT qid, pid, rrf, lanes, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first, pid)::INT AS rrf_rank FROM {x}fused), "
+            f"{x}cw AS (SELECT c.*, list_distinct({S.words('q.text')}) AS c, list_distinct({S.words('p.text')}) AS w, p.text AS passage FROM {x}cand c JOIN {q} q USING (qid) JOIN p USING (pid)), "
+            f"{x}rr AS (SELECT *, len(list_intersect(c, w)) / (len(c) + 1.0::DOUBLE) AS rs FROM {x}cw), {x}rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, rrf_rank)::INT AS rank FROM {x}rr), "
+            f"{x}scored AS (SELECT qid, pid, rank, round(rs, 6) AS rerank_score, {S.case('passage', {k: k for k in lx.SOURCE_WEIGHTS}, 'journalism')} AS source_tier, "
+            f"CASE WHEN rs < 0.4 THEN 'NEI' WHEN list_has_any(c, {NEGATIONS}) <> list_has_any(w, {NEGATIONS}) THEN 'REFUTES' ELSE 'SUPPORTS' END AS nli_verdict, round(rs, 6) AS probability, {quality_sql('passage')} AS quality FROM {x}rk WHERE rank <= {k})")
+
+
+def verdict_sql(x: str, q: str, scored: str) -> str:
+    """CTEs {x}ev and {x}vd: evidence summary, confidence and verdict of the claims of `q` from `scored` passages."""
+    return (f"{x}summary AS (SELECT qid, count(*) FILTER (WHERE nli_verdict = 'SUPPORTS') AS support_count, count(*) FILTER (WHERE nli_verdict = 'REFUTES') AS contradiction_count, avg(quality) AS mean_quality, stddev_pop(probability) AS sd, "
+            f"bool_or(source_tier IN ('who', 'icmr', 'nih', 'guideline')) AS g, bool_or(source_tier = 'pubmed') AS pm, array_to_string(list_sort(list(DISTINCT source_tier)), ',') AS tiers FROM {scored} GROUP BY qid), "
+            f"{x}ev AS (SELECT q.qid, coalesce(support_count, 0) AS support_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(mean_quality, 0) AS mean_quality, sd, coalesce(tiers, '') AS tiers, "
+            "CASE WHEN g IS NULL THEN 'none' WHEN g THEN 'guideline' WHEN pm THEN 'study' ELSE 'journalism' END AS best_tier, CASE WHEN g IS NULL THEN 0.0 WHEN support_count + contradiction_count > 0 "
+            f"THEN greatest(support_count, contradiction_count)::DOUBLE / (support_count + contradiction_count) ELSE 0.5 END::DOUBLE AS agreement FROM {q} q LEFT JOIN {x}summary USING (qid)), "
+            f"{x}cv AS (SELECT *, CASE WHEN sd IS NULL THEN 0.2 ELSE round(1 / (1 + exp(-(2.5 * mean_quality + 2.0 * agreement - 1.5 * sd + 1.2 * 0.75 - 1.8))), 4) END::DOUBLE AS confidence FROM {x}ev), "
+            f"{x}vd AS (SELECT *, CASE WHEN sd IS NULL OR confidence < 0.45 OR mean_quality < 0.35 THEN 'INSUFFICIENT_EVIDENCE' WHEN support_count > 0 AND contradiction_count > 0 AND agreement < 0.7 THEN 'MIXED_EVIDENCE' WHEN contradiction_count > support_count AND confidence >= 0.65 THEN 'FALSE' "
+            "WHEN contradiction_count > support_count THEN 'MOSTLY_FALSE' WHEN support_count > contradiction_count AND confidence >= 0.75 THEN 'SUPPORTED' WHEN support_count > contradiction_count THEN 'MOSTLY_SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict "
+            f"FROM {x}cv)")
+
+
+CHAIN = f"{BASE}, {lanes_sql('q', 15)}, {read_sql('', 'hits', 'q', 5)}, {verdict_sql('', 'q', 'scored')}"
 
 QUERIES["rrf_fusion"] = lambda s, d: pipeline.candidates(_claims(s, d), facts(s, d)).select("qid", "pid", F.round("rrf", 6).alias("rrf"), "lanes", "rrf_rank")
 ORACLE["rrf_fusion"] = f"{CHAIN} SELECT qid, pid, round(rrf, 6) AS rrf, lanes, rrf_rank FROM cand"
@@ -117,11 +141,4 @@ ORACLE["retrieval_metrics"] = (f"{BASE}, {bm25_sql('b', 'q', 20)}, gold AS (SELE
                                "SELECT round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(h20 / n), 6) AS recall_at_20, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg_at_10, count(*) AS queries FROM r")
 
 
-def _report(s, d):
-    base = table(s, d, "verified_facts").select("fact_id", "claim_subject", "verdict", "scientific_truth", "risk_level")
-    return pipeline.analyze(queries(s, d), facts(s, d), base)
-
-
-QUERIES["claim_report"] = _report
-QUERIES["report_summary"] = lambda s, d: _report(s, d).groupBy("route", "mode", "verdict").agg(F.count(F.lit(1)).alias("claims"), F.count_if("needs_review").alias("to_review"))
 ORACLE = {k: S.lambdas(v) for k, v in ORACLE.items()}

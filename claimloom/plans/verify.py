@@ -10,18 +10,13 @@ from ..operators import metrics, multilingual, pipeline, retrieval, verify
 from ..sources.tables import table, text_table
 from . import retrieval as R
 from . import sql as S
+from .reports import topics_sql
 
 QUERIES, ORACLE = {}, {}
 
 
-def _facts(s, d):
-    return table(s, d, "verified_facts").select("fact_id", "claim_subject", "verdict", "scientific_truth", "risk_level")
-
-
-QUERIES["tier_one"] = lambda s, d: verify.tier_one(R._claims(s, d), _facts(s, d))
 QUERIES["topic_gate"] = lambda s, d: table(s, d, "verified_facts").select("fact_id", F.coalesce(verify.same_topic(F.col("claim_subject"), F.col("scientific_truth")), F.lit(False)).alias("same"))
-_topics = lambda c: f"list_filter({S.words(c)}, x -> len(x) > 2 AND regexp_full_match(x, '\\p{{L}}+') AND x NOT IN ({', '.join(S.q(w) for w in verify.STOP)}))"
-ORACLE["topic_gate"] = f"SELECT fact_id, coalesce(list_has_any({_topics('claim_subject')}, {_topics('scientific_truth')}), false) AS same FROM verified_facts"
+ORACLE["topic_gate"] = f"SELECT fact_id, coalesce(list_has_any({topics_sql('claim_subject')}, {topics_sql('scientific_truth')}), false) AS same FROM verified_facts"
 
 
 

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from claimloom.operators import evidence, metrics, pipeline, retrieval
 from pyspark.sql import functions as F
@@ -101,3 +103,41 @@ def test_vectors_find_what_words_do_not(spark):
     assert got[99].lanes == "contradiction" and got[99].rrf == round(1 / 61, 9)
     assert 99 not in {r.pid for r in pipeline.candidates(q, p, 3, None).collect()}
     assert set(pipeline.lane_hits(q, p, 3, embedder).select("seen").distinct().toPandas()["seen"]) == set(range(10))
+
+
+def test_best_lists_against_sorting():
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 40):
+        best, every = retrieval.Best(5, k), []
+        for _ in range(6):
+            score, rows = rng.integers(0, 4, (5, 9)).astype(float), np.sort(rng.choice(1000, 9, replace=False))[::-1]
+            best.take(0, score, rows)
+            every.append((score, rows))
+        for q in range(5):
+            want = sorted(((s[q, j], r[j]) for s, r in every for j in range(9)), reverse=True)[:k]
+            got = [(s, r) for s, r in zip(best.score[q], best.row[q], strict=True) if s > -np.inf]
+            assert [g[0] for g in got] == [w[0] for w in want] and len(got) == min(k, 54)
+
+
+def test_few_rows_leave_python_and_blocks_agree(spark, monkeypatch):
+    block = pa.table({"qid": pa.array([1, 2], pa.int64()), "terms": pa.array([[{"term": "a", "weight": 1.0}], []])})
+    passages = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 900), pa.int64()), pa.array([["a"]] * 900)], ["pid", "w"]) for k in range(0, 4500, 900)]
+    held = type("Held", (), {"value": retrieval._Lists(block)})
+    out = list(retrieval._score(held, 1.0, 3)(iter(passages)))
+    assert sum(b.num_rows for b in out) == 2 * 3  # queries x k for a whole task, however many batches it reads
+    assert [r for b in out for r in b.column("pid").to_pylist()] == [4499, 4498, 4497] * 2
+    q = spark.createDataFrame([(k, f"garlic water {k}") for k in range(40)], "qid long, text string")
+    p = spark.createDataFrame(PASSAGES, "pid long, text string")
+    v = spark.range(30).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    one = sorted(map(tuple, retrieval.bm25(q, p, 2).collect())), sorted(map(tuple, retrieval.neighbours(v.withColumnRenamed("id", "qid"), v, 2).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 400)  # several blocks: the driver never holds all queries
+    assert one == (sorted(map(tuple, retrieval.bm25(q, p, 2).collect())), sorted(map(tuple, retrieval.neighbours(v.withColumnRenamed("id", "qid"), v, 2).collect())))
+
+
+def test_hits_by_text_and_model_hooks(spark):
+    p = spark.createDataFrame([(4, "b"), (2, "a"), (1, "b"), (3, None)], "pid long, text string")
+    h = spark.createDataFrame([(1, "x", 0, 1, "b"), (1, "x", 0, 2, "zzz"), (1, "x", 0, 3, None)], "qid long, lane string, seen int, rank int, passage string")
+    assert [tuple(r) for r in retrieval.string_hits(h, p).collect()] == [(1, "x", 0, 1, 1)]
+    c = spark.createDataFrame([(1, "a b", 1, "a b", 1), (1, "a b", 2, "q", 2)], "qid long, claim string, pid long, passage string, rrf_rank int")
+    by_model = retrieval.rerank(c, 2, lambda a, b: F.when(b == "q", 0.99))
+    assert [(r.pid, round(r.rerank_score, 2)) for r in by_model.orderBy("rank").collect()] == [(2, 0.99), (1, 0.67)]  # null falls back on words

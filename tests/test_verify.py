@@ -39,8 +39,8 @@ def test_softmax_and_gloss(spark):
 
 
 def test_settings(spark, monkeypatch):
-    monkeypatch.setenv("CLAIMLOOM_PER_LANE", "7")
-    spark.conf.set("spark.claimloom.nli_floor", "0.8")
+    monkeypatch.setenv("CLAIMLOOM_STANDARD", "7")
+    spark.conf.set("spark.claimloom.review_harm", "0.8")
     s = Settings.read(spark)
-    assert s.per_lane == 7 and s.nli_floor == 0.8 and s.rerank == 5
-    spark.conf.unset("spark.claimloom.nli_floor")
+    assert s.standard == 7 and s.review_harm == 0.8 and s.deep == 15
+    spark.conf.unset("spark.claimloom.review_harm")
