@@ -1,10 +1,12 @@
 """Text of scanned pages repaired into continuous paragraphs.
 
 Lines that only the page added are found by where they recur: a header or footer stands at the same edge on further
-pages of its file, or has the wording of lines that the corpus has at page edges and hardly elsewhere. Words broken at
+pages of its file, or has the wording of lines that the corpus has at page edges and hardly elsewhere; a line of any length
+or form among the outer ones counts if it recurs on several pages of its file. Words broken at
 a line's end are joined. Misread words are corrected by a noisy channel: a candidate's probability is that of its
 character confusions, estimated from the corpus, times its likelihood after the word before it under the corpus's
-word pairs; the best sequence of each line is decoded by Viterbi over the candidates of its words.
+word pairs, or, for words that no list has, that of its letters; the best sequence of each line is decoded by Viterbi over
+the candidates of its words.
 """
 
 from __future__ import annotations
@@ -25,11 +27,16 @@ from ..session import cut
 CONFUSIONS = (
     ("e", "c"), ("a", "@"), ("t", "+"), ("i", "1"), ("l", "1"), ("o", "0"), ("s", "5"), ("g", "9"), ("b", "6"), ("l", "i"), ("i", "l"), ("h", "b"),
     ("f", "ſ"), ("s", "ſ"), ("u", "ii"), ("n", "ri"), ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("c", "e"), ("b", "h"), ("i", "!"), ("l", "|"), ("i", "|"),
-    ("s", "$"), ("c", "("), ("g", "q"), ("q", "g"), ("u", "v"), ("v", "u"), ("f", "t"), ("t", "f"), ("B", "8"), ("z", "2"), ("n", "u"), ("u", "n"),
+    ("s", "$"), ("c", "("), ("g", "q"), ("q", "g"), ("u", "v"), ("v", "u"), ("f", "t"), ("t", "f"), ("b", "8"), ("z", "2"), ("n", "u"), ("u", "n"),
 )
+# One form for characters that are taken for each other, so chosen that both sides of every confusion have the same.
+COARSE = {
+    "i": "i", "l": "i", "1": "i", "|": "i", "!": "i", "r": "i", "u": "ii", "v": "ii", "n": "ii", "m": "iii", "w": "iiii", "e": "c", "c": "c", "(": "c", "d": "ci", "a": "a", "@": "a",
+    "t": "f", "f": "f", "+": "f", "ſ": "f", "s": "f", "5": "f", "$": "f", "o": "o", "0": "o", "g": "g", "9": "g", "q": "g", "b": "b", "h": "b", "6": "b", "8": "b", "z": "z", "2": "z",
+}
 DIGITS = {"l": "1", "i": "1", "|": "1", "!": "1", "o": "0", "z": "2", "s": "5", "b": "6", "g": "9", "q": "9", "B": "8", "S": "5", "O": "0", "I": "1", "Z": "2", "$": "5", "G": "6", "A": "4", "T": "7"}
 _HYPHENS = "-¬‐‑­"
-_NUM = "<num>"
+_NUM, _DIGIT = "<num>", "\x01"
 #: A word or pair of words is in the list of every task from this share of the corpus on (and from LEAST occurrences), so
 #: that the model has at most 1 / SHARE words and as many pairs, whatever the corpus.
 SHARE = 2e-6
@@ -39,13 +46,18 @@ PRIOR = 2e-3
 #: Weight of word pairs against single words.
 PAIRS = 0.7
 _UNKNOWN, _NAME = 1e-9, 1e-6
-#: A name is corrected if the corrected spelling is by so much (in logs) likelier; letters are judged from so many on.
+#: Log odds that a name is spelt as it is read; letters are judged from so many on.
 NAME_GAIN, LEAST_LETTERS = 1.0, 2000
+#: Spellings kept while a word is spelt letter by letter.
+BEAM = 16
 _FLUSH = 400_000
 #: A recurring line is of the page if at least this part of its wording's occurrences stand at page edges.
 EDGE = 0.8
-#: Words a header or footer has at most.
-EDGE_WORDS = 11
+#: Words of a line that its wording alone may make a header or footer. Longer ones, lines that end like a sentence and lines
+#: further in, up to LINES from each edge, must recur on RECUR pages of their file.
+EDGE_WORDS, LINES, RECUR = 11, 3, 3
+#: Words that such a line has at least: the last word or two of a paragraph recur by chance.
+LOOSE_WORDS = 3
 
 _ROMAN = r"(?:x{0,3}|xl|l|lx{1,3}|xc)(?:i{1,3}|iv|v|vi{1,3}|ix)|x{1,3}|xl|l|lx{1,3}|xc"
 _NUMBER_LINE = re.compile(rf"\W*(?:(?:page|p|pg|no)\b\W*)?(?:[0-9][0-9lIoOSsBbz|]*|[lIoOzSsb|][0-9][0-9lIoOSsBbz|]*|{_ROMAN})(?:\s*(?:of|/)\s*[0-9lIoOSsBbz|]+)?\W*", re.I)
@@ -57,7 +69,7 @@ _DIGITISH = re.compile(r"[0-9lIoOzZsSbBgqi|!$]+")
 def is_number_line(line: str) -> bool:
     """A line of only a page number, bare, framed, roman, or after `Page`."""
     s = line.strip()
-    if not s or len(s) > 20:
+    if not s:
         return False
     return bool(_NUMBER_LINE.fullmatch(s)) or bool(_PAGE_WORD.match(s) and re.fullmatch(r"\W*[Pp]\S{0,3}\W*\s*[0-9lIoOSsBbz|]{1,4}(?:\s*[o0]f\s*[0-9lIoOSsBbz|]{1,4})?\W*", s))
 
@@ -78,22 +90,21 @@ def _is_number(token: str) -> bool:
     return bool(_DIGITISH.fullmatch(token)) and any(c.isdigit() for c in token)
 
 
+@lru_cache(1 << 18)
+def _bare(word: str) -> str | None:
+    """The one form of a word of a line; None for numbers and marks."""
+    t = word.strip(_STRIP)
+    return None if not t or _is_number(t) or re.fullmatch(_ROMAN, t) else skeleton(t)
+
+
 def line_key(line: str) -> str:
     """A line without its numbers, in one form for all readings."""
-    words = [t for t in (w.strip(_STRIP) for w in line.split()) if t and not _is_number(t) and not re.fullmatch(_ROMAN, t)]
-    return " ".join(filter(None, map(skeleton, words)))
+    return " ".join(filter(None, map(_bare, line.split())))
 
 
 def line_wording(line: str, known: set[str]) -> str:
     """`line_key` with its names as N; `known` has the forms of the usual words."""
-    out = []
-    for w in line.split():
-        t = w.strip(_STRIP)
-        if not t or _is_number(t) or re.fullmatch(_ROMAN, t):
-            continue
-        k = skeleton(t)
-        out.append(k if k in known else "N")
-    return " ".join(out)
+    return " ".join([k if k in known else "N" for k in map(_bare, line.split()) if k is not None])
 
 
 def tokens(line: str) -> list[str]:
@@ -108,18 +119,24 @@ def shape(token: str) -> str:
     return _NUM if t.replace(".", "").replace(",", "").isdigit() else t
 
 
-def edge_lines(lines: list[str]) -> list[tuple[int, str]]:
-    """(line number from 1, 'T' or 'B') of the lines that may be a header or footer: the outermost, numbers left out."""
+def edge_lines(lines: list[str]) -> list[tuple[int, str, bool]]:
+    """(line number from 1, 'T' or 'B', strict) of the lines that may be a header or footer: LINES at each edge, numbers left out.
+
+    Strict are outermost lines in the form of a header; their wording may tell. A line is listed once for each edge.
+    """
     full = [k for k, x in enumerate(lines) if x.strip()]
     out = []
     for zone, order in (("T", full), ("B", full[::-1])):
-        for n, k in enumerate(order[:2]):
+        rank = 0
+        for n, k in enumerate(order[:LINES + 1]):
             if is_number_line(lines[k]):
                 continue
             s = lines[k].strip()
-            if len(s.split()) <= EDGE_WORDS and s[-1] not in ".,;\"?!" and (s[0].isupper() or s[0].isdigit() or n == 0 and zone == "T") and not (zone == "B" and len(full) > 2 and s[0].islower()):
-                out.append((k + 1, zone))
-            break
+            strict = not rank and n < 2 and len(s.split()) <= EDGE_WORDS and s[-1] not in ".,;\"?!" and (s[0].isupper() or s[0].isdigit() or n == 0 and zone == "T") and not (zone == "B" and len(full) > 2 and s[0].islower())
+            out.append((k + 1, zone, strict))
+            rank += 1
+            if rank == LINES:
+                break
     return out
 
 
@@ -129,27 +146,47 @@ def _counted(total: Counter, names: list[str]) -> Iterator[pa.RecordBatch]:
         total.clear()
 
 
-def word_counts(pages: DataFrame) -> tuple[dict[str, int], DataFrame | None]:
+def word_counts(pages: DataFrame) -> tuple[dict[str, int], dict[str, int], DataFrame | None]:
     """The usual words of the corpus with their counts, at most 1 / SHARE; counted over all pages.
 
+    Then how many digits numbers have, and how often which other character stands among them.
+
     And the table (w, n) of all words from LEAST occurrences on, where the share leaves some of them out of the list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        raw: Counter[str] = Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            total: Counter[str] = Counter()
+            for w, n in raw.items():
+                t = w.strip(_STRIP)
+                if t and t[-1] not in _HYPHENS:
+                    x = shape(t)
+                    total[x] += n
+                    if x == _NUM:
+                        total[_DIGIT] += n * sum(c.isdigit() for c in t)
+                    elif _is_number(t):
+                        for c in t:
+                            total[_DIGIT + c if not c.isdigit() else _DIGIT] += n
+            raw.clear()
+            yield from _counted(total, ["w", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    total.update(shape(t) for t in tokens(line) if t[-1] not in _HYPHENS)
-            if len(total) > _FLUSH:
-                yield from _counted(total, ["w", "n"])
-        yield from _counted(total, ["w", "n"])
-
-    got = pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    got = cut(got)
+                if text:
+                    raw.update(text.split())
+            if len(raw) > _FLUSH:
+                yield from counted()
+        yield from counted()
+
+    got = cut(pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    digit = F.col("w").startswith(_DIGIT)  # digits, and characters that stand among them: a handful
+    digits = {r.w: r.n for r in got.where(digit).collect()}
+    got = got.where(~digit)
     all_ = got.agg(F.sum("n")).first()[0] or 0
     words = {r.w: r.n for r in got.where(F.col("n") >= max(LEAST, all_ * SHARE)).collect()}
-    return words, got.where(F.col("n") >= LEAST) if all_ * SHARE > LEAST else None
+    return words, digits, got.where(F.col("n") >= LEAST) if all_ * SHARE > LEAST else None
 
 
 def is_name(token: str) -> bool:
@@ -169,18 +206,45 @@ def pair_counts(pages: DataFrame, words: dict[str, int]) -> tuple[dict[tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+        names: Counter[str] = Counter()
+        usual: dict[str, str | None] = {}  # a token's shape; None for marks and for words out of the list
+
+        def look(w: str) -> str | None:
+            t = w.strip(_STRIP)
+            x = shape(t) if t else ""
+            if x in words:
+                return x
+            return "" if not t else None
+
+        def spelt() -> Iterator[pa.RecordBatch]:
+            for w, n in names.items():
+                t = w.strip(_STRIP)
+                if is_name(t) and t.isascii():
+                    for g in trigrams(t):
+                        total[g] += n
+            names.clear()
+            yield from _counted(total, ["w", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    ts = tokens(line)
-                    s = [shape(t) for t in ts]
-                    total.update(f"{x} {y}" for x, y in zip(s, s[1:], strict=False) if x in words and y in words)
-                    for t, x in zip(ts, s, strict=True):
-                        if x not in words and is_name(t) and t.isascii():
-                            total.update(trigrams(t))
-            if len(total) > _FLUSH:
-                yield from _counted(total, ["w", "n"])
-        yield from _counted(total, ["w", "n"])
+                    last = None
+                    for w in line.split():
+                        if w in usual:
+                            x = usual[w]
+                        else:
+                            if len(usual) > _FLUSH:
+                                usual.clear()
+                            x = usual[w] = look(w)
+                        if x is None:
+                            names[w] += 1
+                        elif x and last:
+                            total[f"{last} {x}"] += 1
+                        if x != "":
+                            last = x
+            if len(total) + len(names) > _FLUSH:
+                yield from spelt()
+        yield from spelt()
 
     least = max(2, sum(words.values()) * SHARE)
     got = pages.select("extracted_text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | ~F.contains("w", F.lit(" ")))
@@ -188,22 +252,42 @@ def pair_counts(pages: DataFrame, words: dict[str, int]) -> tuple[dict[tuple[str
     return {tuple(r.w.split(" ", 1)): r.n for r in rows if " " in r.w}, {r.w: r.n for r in rows if " " not in r.w}
 
 
-def inverse(token: str, edits: int = 2) -> dict[str, tuple[tuple[str, str], ...]]:
-    """What a token may have been, with the confusions that made it: up to `edits` of them."""
-    found: dict[str, tuple[tuple[str, str], ...]] = {}
-    layer: dict[str, tuple[tuple[str, str], ...]] = {token: ()}
-    for _ in range(edits):
-        new: dict[str, tuple[tuple[str, str], ...]] = {}
-        for t, how in layer.items():
-            for true, read in CONFUSIONS:
-                at = t.find(read)
-                while at >= 0:
-                    v = t[:at] + true + t[at + len(read):]
-                    if v != token and v not in found and v not in new:
-                        new[v] = (*how, (true, read))
-                    at = t.find(read, at + 1)
-        found |= new
-        layer = new
+_FIRST = {c: [x for x in CONFUSIONS if x[0][0] == c] for c in {a[0] for a, _ in CONFUSIONS}}
+_COARSE = str.maketrans(COARSE)
+
+
+def coarse(word: str) -> str:
+    """One form for a word and everything that confusions make of it, however many there are."""
+    return word.translate(_COARSE)
+
+
+def explained(true: str, read: str, cost: dict[tuple[str, str], float] | None = None) -> tuple[float, tuple[tuple[str, str], ...]] | None:
+    """(log probability, confusions) of the likeliest way in which `true` is read as `read`, None if there is none; without costs the fewest."""
+    at: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(true) + 1)]
+    at[0][0] = 0.0, ()
+    for i, c in enumerate(true):
+        for j, (p, how) in at[i].items():
+            if read.startswith(c, j):
+                old = at[i + 1].get(j + 1)
+                if old is None or p > old[0]:
+                    at[i + 1][j + 1] = p, how
+            for a, b in _FIRST.get(c, ()):
+                if read.startswith(b, j) and true.startswith(a, i):
+                    q, old = p + (cost[a, b] if cost else -1.0), at[i + len(a)].get(j + len(b))
+                    if old is None or q > old[0]:
+                        at[i + len(a)][j + len(b)] = q, (*how, (a, b))
+    return at[-1].get(len(read))
+
+
+def inverse(token: str) -> dict[str, tuple[str, str]]:
+    """What a token may have been, with the one confusion that made it."""
+    found: dict[str, tuple[str, str]] = {}
+    for true, read in CONFUSIONS:
+        at = token.find(read)
+        while at >= 0:
+            found.setdefault(token[:at] + true + token[at + len(read):], (true, read))
+            at = token.find(read, at + 1)
+    found.pop(token, None)
     return found
 
 
@@ -243,41 +327,73 @@ def page_words(text: str | None) -> set[str]:
 def rare_words(pages: DataFrame, words: dict[str, int], counted: DataFrame) -> DataFrame:
     """(id, rare): for each page the words outside the list, with counts, that its words are or may be misreadings of.
 
-    A word that a far more usual one explains is none. All by joins with the complete counted table.
+    A word that a far more usual one explains is none. All by joins with the complete counted table on the coarse form.
+    Words of the list need no rarer candidate: read as they stand they are likelier at any place.
     """
-    rare = counted.where(~F.col("w").eqNullSafe(_NUM)).mapInArrow(_spread_words("w string, n long", lambda w, n: [(w, n)] if w not in words else []), "w string, n long")
-    one = "w string, v string, least long"
-    wrong = rare.mapInArrow(_spread_words(one, lambda w, n: [(w, v, _outweighs(w) * n) for v in inverse(w, 1)]), one)
-    wrong = wrong.join(counted.select(F.col("w").alias("v"), "n"), "v").where(F.col("n") >= F.col("least")).select("w")
+    form = "w string, n long, c string"
+    every = cut(counted.where(~F.col("w").eqNullSafe(_NUM)).mapInArrow(_spread_words(form, lambda w, n: [(w, n, coarse(w))]), form))
+    rare = every.join(F.broadcast(every.sparkSession.createDataFrame([(w,) for w in words], "w string")), "w", "left_anti")  # at most 1 / SHARE words
+    met = rare.join(every.select("c", F.col("w").alias("v"), F.col("n").alias("m")), "c").where("w <> v and m >= 3 * n").select("w", "n", "v", "m")
+    wrong = met.mapInArrow(_spread_words("w string", lambda w, n, v, m: [(w,)] if m >= _outweighs(w) * n and len((explained(v, w) or (0, ()))[1]) == 1 else []), "w string").distinct()
     rare = cut(rare.join(wrong, "w", "left_anti"))
-    has = cut(pages.select("raw_input_id", "extracted_text").mapInArrow(_spread_words("id string, t string", lambda i, text: [(i, t) for t in page_words(text)]), "id string, t string"))
-    may = has.select("t").distinct().mapInArrow(_spread_words("t string, w string", lambda t: [(t, t), *((t, v) for v in inverse(t, 1 if t in words else 2))]), "t string, w string")
-    return has.join(may.join(rare, "w"), "t").groupBy("id").agg(F.collect_set(F.struct("w", "n")).alias("rare"))  # the words of one page
+    has = cut(pages.select("raw_input_id", "extracted_text").mapInArrow(_spread_words("id string, t string", lambda i, text: [(i, t) for t in page_words(text) if t not in words]), "id string, t string"))
+    tokens_ = has.select("t").distinct().mapInArrow(_spread_words("t string, c string", lambda t: [(t, coarse(t))]), "t string, c string")
+    may = tokens_.join(rare, "c").select("t", "w", "n").mapInArrow(_spread_words("t string, w string, n long", lambda t, w, n: [(t, w, n)] if explained(w, t) else []), "t string, w string, n long")
+    return has.join(may, "t").groupBy("id").agg(F.collect_set(F.struct("w", "n")).alias("rare"))  # the words of one page
 
 
 _ODD = re.compile(r"[0-9@+ſ|!$(]")
 
 
+class Spelling:
+    """Likelihood of letters, each after the two before it; unseen ones weigh little."""
+
+    def __init__(self, triples: Counter[str]):
+        self.triples, self.before = triples, Counter()
+        for t, n in triples.items():
+            self.before[t[:2]] += n
+        self.size = self.before.total()
+        self.known: dict[str, float] = {}
+
+    def of(self, word: str) -> float:
+        total, known = 0.0, self.known
+        for k in range(len(word) - 2):
+            g = word[k:k + 3]
+            p = known.get(g)
+            if p is None:
+                p = known[g] = math.log((self.triples.get(g, 0) + 0.05) / (self.before.get(g[:2], 0) + 2.0))
+            total += p
+        return total
+
+
 class Channel:
     """Words, pairs of words and confusion probabilities of a corpus."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], letters: dict[str, int] | None = None):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], letters: dict[str, int] | None = None, digits: dict[str, int] | None = None):
         self.total = max(sum(words.values()), 1)
-        self.letters, self.before = letters or {}, Counter()
-        for t, n in self.letters.items():
-            self.before[t[:2]] += n
+        digits = digits or {}
+        each = digits.get(_DIGIT, 0) / 10  # occurrences of one digit
+        #: Probability that a digit is read as a character.
+        self.digits = {c: min(max((digits.get(_DIGIT + c, 0) + PRIOR * 50) / (each + 50), 1e-5), 0.05) for c in DIGITS}
+        self.names = Spelling(Counter(letters or {}))
         self.words, self.pairs = dict(words), pairs
         self._purify()
+        self.alphabet = Spelling(Counter(g for w in self.words if w.isalpha() and w.isascii() for g in trigrams(w)))
         self.memo: dict[str, list[tuple[str, float]]] = {}
+        self.named: set[str] = set()
+        self.settled: dict[str, bool] = {}
         self.rare: list[str] = []
 
     def turn(self, rare: list[dict] | None) -> None:
         """Takes the rarer words of the next page in place of those of the last one."""
         for w in self.rare:
             del self.words[w]
+            self.forms[coarse(w)].remove(w)
         new = {r["w"]: r["n"] for r in rare or () if r["w"] not in self.words}
         self.rare = list(new)
         self.words |= new
+        for w in new:
+            self.forms.setdefault(coarse(w), []).append(w)
 
     def _purify(self) -> None:
         """Confusion probabilities from words that a far more usual word explains; those words leave the model.
@@ -285,24 +401,33 @@ class Channel:
         Of short words a pair alike by chance is likelier, so the usual one must be more so.
         """
         seen, might = Counter(), Counter()
+        forms: dict[str, list[str]] = {}
+        trues = {a for a, _ in CONFUSIONS}
         for w, n in self.words.items():
             if w != _NUM:
-                for true, _ in set(CONFUSIONS):
+                forms.setdefault(coarse(w), []).append(w)
+                for true in trues:
                     if true in w:
                         might[true] += n * w.count(true)
-        wrong: dict[str, tuple[str, str]] = {}
-        for w, n in self.words.items():
-            if w == _NUM:
-                continue
-            best = max(((self.words.get(v, 0), how) for v, how in inverse(w, 1).items()), default=(0, ()), key=lambda x: x[0])
-            if best[0] >= _outweighs(w) * n:
-                wrong[w] = best[1][0]
-                seen[best[1][0]] += n
-        self.chance = {c: (seen[c] + PRIOR * 50) / (might[c[0]] + 50) for c in CONFUSIONS}
-        for c in CONFUSIONS:
-            self.chance[c] = min(max(self.chance[c], 1e-5), 0.05)
+        wrong = set()
+        for group in forms.values():
+            group.sort(key=lambda w: -self.words[w])
+            for k, w in enumerate(group):
+                least = _outweighs(w) * self.words[w]
+                for v in group[:k]:  # the more usual ones, the most usual first
+                    if self.words[v] < least:
+                        break
+                    way = explained(v, w)
+                    if way and len(way[1]) == 1:
+                        wrong.add(w)
+                        seen[way[1][0]] += self.words[w]
+                        break
+        self.chance = {c: min(max((seen[c] + PRIOR * 50) / (might[c[0]] + 50), 1e-5), 0.05) for c in CONFUSIONS}
+        self.cost = {c: math.log(p) for c, p in self.chance.items()}
         for w in wrong:
             del self.words[w]
+        #: Words by their coarse form.
+        self.forms = {f: [w for w in group if w not in wrong] for f, group in forms.items()}
 
     def candidates(self, token: str) -> list[tuple[str, float]]:
         """(word, log probability of being read as `token`); the token itself comes first."""
@@ -315,47 +440,63 @@ class Channel:
             if t not in self.words or len(t) <= 2:
                 digits = "".join(DIGITS.get(c, DIGITS.get(c.lower(), c)) for c in token)
                 if digits.isdigit() and (any(c.isdigit() for c in t) or t not in self.words):
-                    out.append((digits, sum(math.log(0.02) for a, b in zip(digits, t, strict=True) if a != b)))
-            for v, how in inverse(t, 1 if t in self.words or is_name(token) else 2).items():
-                if v in self.words:
-                    out.append((v, sum(math.log(self.chance[c]) for c in how)))
-            if len(out) == 1 and t not in self.words and _ODD.search(t):
-                out += self._spelled(t)
-            elif len(out) == 1 and t not in self.words and is_name(token):
-                out = self._named(t)
+                    out.append((digits, sum(math.log(self.digits.get(c, self.digits.get(c.lower(), PRIOR))) for c in token if not c.isdigit())))
+            most = 1 if t in self.words or is_name(token) else len(t)  # confusions
+            for v in self.forms.get(coarse(t), ()):
+                way = explained(v, t, self.cost) if v != t else None
+                if way and len(way[1]) <= most:
+                    out.append((v, way[0]))
+            if len(out) == 1 and t not in self.words:
+                if _ODD.search(t):
+                    out += self._spelled(t)
+                elif is_name(token):
+                    out += self._named(t)
+                    self.named.add(token)
         if len(self.memo) > _FLUSH:
             self.memo.clear()
         self.memo[token] = out
         return out
 
+    def is_settled(self, word: str) -> bool:
+        """Whether a word of a line, punctuation around it included, has no reading but its own."""
+        got = self.settled.get(word)
+        if got is None:
+            t = word.strip(_STRIP)
+            if len(self.settled) > _FLUSH:
+                self.settled.clear()
+            got = self.settled[word] = not t or word[-1] not in _HYPHENS and len(self.candidates(t)) == 1
+        return got
+
     def _spelled(self, t: str) -> list[tuple[str, float]]:
-        """For an unknown word with characters that no word has: its likeliest letters, parts at a hyphen each by itself."""
+        """For an unknown word with characters that no word has: its likeliest spellings by letters, parts at a hyphen each by itself."""
         parts = t.split("-")
         if len(parts) > 1:
-            best = [max(((v, s + self.single(v)) for v, s in self.candidates(p)[(1 if _ODD.search(p) else 0):] or [(p, 0.0)]), key=lambda x: x[1])[0] for p in parts]
-            v = "-".join(best)
-            return [(v, math.log(PRIOR))] if v != t and not _ODD.search(v) else []
+            v, cost = [], 0.0
+            for p in parts:
+                rest = [(x, c) for x, c in self.candidates(p) if not _ODD.search(x)] or [(p, 0.0)]
+                x, c = max(rest, key=lambda o: o[1] + self.single(o[0]))
+                v.append(x)
+                cost += c
+            v = "-".join(v)
+            return [(v, cost)] if v != t and not _ODD.search(v) else []
         if sum(c.isdigit() for c in t) * 2 > len(t) or not any(c.isalpha() for c in t):
             return []
-        plain = {"0": "o", "5": "s", "9": "g", "6": "b", "@": "a", "+": "t", "ſ": "f"}
-        v = "".join(plain.get(c, c) for c in t)
-        while "1" in v:  # a vowel between consonants, else l
-            k = v.index("1")
-            around = [v[k - 1] if k else "a", v[k + 1] if k + 1 < len(v) else "a"]
-            v = v[:k] + ("l" if any(c in "aeiou" for c in around) else "i") + v[k + 1:]
-        return [(v, math.log(PRIOR))] if v.replace("'", "").isalpha() else []
-
-    def spelling(self, word: str) -> float:
-        """Log likelihood of a name's letters, each after the two before it; unseen ones weigh little."""
-        return sum(math.log((self.letters.get(g, 0) + 0.05) / (self.before[g[:2]] + 2.0)) for g in trigrams(word))
+        beam = [("", 0.0)]
+        for c in t:
+            ways = [(true, self.cost[true, read]) for true, read in CONFUSIONS if read == c] if _ODD.search(c) else [(c, 0.0)]
+            beam = [(v + x, cost + y) for v, cost in beam for x, y in ways]
+            beam = sorted(beam, key=lambda o: -o[1] - self.alphabet.of("^" + o[0]))[:BEAM]
+        good = [(v, cost + self.alphabet.of(f"^{v}$")) for v, cost in beam if v.replace("'", "").isalpha()]
+        best = max((c for _, c in good), default=0.0)
+        return [(v, c - best + math.log(PRIOR)) for v, c in good]
 
     def _named(self, t: str) -> list[tuple[str, float]]:
-        """A name as it stands, or the one of a single confusion whose letters follow each other far more usually."""
-        if self.before.total() < LEAST_LETTERS:
-            return [(t, 0.0)]
-        here = self.spelling(t)
-        best = max(((self.spelling(v) + math.log(self.chance[how[0]]), v) for v, how in inverse(t, 1).items() if v.isalpha()), default=(-1e9, t))
-        return [(best[1], 0.0)] if best[0] > here + NAME_GAIN else [(t, 0.0)]
+        """The names of a single confusion whose letters follow each other more usually; the odds are against a change."""
+        if self.names.size < LEAST_LETTERS:
+            return []
+        here = self.names.of(f"^{t}$") + NAME_GAIN
+        found = [(v, self.names.of(f"^{v}$") - here + self.cost[how]) for v, how in inverse(t).items() if v.isalpha()]
+        return [x for x in found if x[1] > -3.0]  # beyond what any confidence of the page makes up for
 
     def single(self, v: str) -> float:
         n = self.words.get(shape(v), 0)
@@ -375,10 +516,15 @@ class Channel:
     def decode(self, line: list[tuple[str, list[str]]], doubt: float) -> list[str]:
         """The best words of a line; an entry is (token as read, its spellings: several for a joined word)."""
         if all(len(sp) == 1 and len(self.candidates(sp[0])) == 1 for _, sp in line):
-            return [self.candidates(sp[0])[0][0] for _, sp in line]  # nothing to choose
+            return [sp[0].lower() for _, sp in line]  # nothing to choose
         states: dict[str | None, tuple[float, tuple]] = {None: (0.0, ())}
         for place, (token, spellings) in enumerate(line):
             name = token[:1].isupper() and token[1:].islower() and place > 0
+            if len(states) == 1 and len(spellings) == 1 and len(self.candidates(spellings[0])) == 1:
+                v, x = spellings[0].lower(), shape(spellings[0])  # one way to here and one on: nothing to weigh
+                (_, path), = states.values()
+                states = {x if x in self.words or x == _NUM else None: (0.0, (path, v))}
+                continue
             options: dict[str, float] = {}
             for sp in spellings:
                 for v, cost in self.candidates(sp):
@@ -394,7 +540,7 @@ class Channel:
                 known = v in self.words
                 s = shape(v) if known or shape(v) == _NUM else None
                 for u, (score, path) in states.items():
-                    x = score + cost + self.after(u, v, name and v == token.lower())
+                    x = score + cost + self.after(u, v, name and (v == token.lower() or token in self.named))
                     if s not in new or x > new[s][0]:
                         new[s] = (x, (path, v))
             states = new
@@ -406,49 +552,59 @@ class Channel:
         return out[::-1]
 
 
-def page_key(identifier: str) -> str:
-    """A page's own key: scans of one page have the same."""
-    return identifier.rstrip("abcdefghijklmnopqrstuvwxyz")
-
-
 def _edges(pages: DataFrame, known: set[str]) -> DataFrame:
-    """Lines that may be a header or footer, and lines of the same kind from the middle of pages (line_no 0)."""
+    """Lines that may be a header or footer, and lines of the same kind from the middle of pages (line_no 0).
+
+    A line that only its recurrence in the file can tell has no wording.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, file, text in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+            for i, file, page, text in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 lines = (text or "").split("\n")
-                at = dict(edge_lines(lines))
+                edges = edge_lines(lines)
+                at = {k: zone for k, zone, strict in edges if strict}
+                for k, zone, strict in edges:
+                    if not strict and (key := line_key(lines[k - 1])).count(" ") + 1 >= LOOSE_WORDS:
+                        rows.append((i, file, page, k, zone, key, None))
                 for k, x in enumerate(lines, 1):
                     n = len(x.split())
                     if not n or n > EDGE_WORDS or k not in at and (x.rstrip()[-1] in ".,;\"?!" or is_number_line(x)):
                         continue
                     key = line_key(x)
                     if key:
-                        rows.append((i, file, page_key(i), k if k in at else 0, at.get(k, "M"), key, line_wording(x, known)))
+                        rows.append((i, file, page, k if k in at else 0, at.get(k, "M"), key, line_wording(x, known)))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "file", "page", "line_no", "zone", "key", "wording"])
 
-    return pages.select("raw_input_id", "file", "extracted_text").mapInArrow(run, "id string, file string, page string, line_no int, zone string, key string, wording string")
+    return pages.select("raw_input_id", "file", "page", "extracted_text").mapInArrow(run, "id string, file string, page string, line_no int, zone string, key string, wording string")
 
 
 def running_lines(pages: DataFrame, words: dict[str, int]) -> DataFrame:
     """(id, line_no): the headers and footers.
 
-    A line counts if it stands at that edge on two pages of its file, or its wording does on several pages of the
-    corpus, and its wording rarely stands elsewhere. Counts are combined before each shuffle.
+    A line in the form of a header counts if it stands at that edge on two pages of its file, or its wording does in five
+    files of the corpus, and its wording rarely stands elsewhere; any other line near an edge, of LOOSE_WORDS words or more, if it
+    stands there on RECUR pages of its file. Counts are combined before each shuffle.
     """
     least = max(30, sum(words.values()) * 1e-5)
     known = {skeleton(w) for w, n in words.items() if n >= least and w != _NUM}
     e = cut(_edges(pages, known))
-    by_wording = e.groupBy("wording").agg(F.sum((F.col("line_no") > 0).cast("long")).alias("edge"), F.count(F.lit(1)).alias("all"), F.approx_count_distinct("file").alias("files"))
-    by_wording = by_wording.where(F.col("edge") >= EDGE * F.col("all"))
+    strict = e.where("wording is not null")
+    by_wording = strict.groupBy("wording", "file").agg(F.sum((F.col("line_no") > 0).cast("long")).alias("edge"), F.count(F.lit(1)).alias("all"))
+    by_wording = by_wording.groupBy("wording").agg(F.sum("edge").alias("edge"), F.sum("all").alias("all"), F.count("file").alias("files")).where(F.col("edge") >= EDGE * F.col("all"))
+    # where a wording alone is enough, one row for it; else the file's own pages decide
     at = e.where("line_no > 0")
-    by_file = at.select("file", "zone", "key", "page").distinct().groupBy("file", "zone", "key").agg(F.count(F.lit(1)).alias("pages"))
-    got = at.join(by_wording, "wording").join(by_file, ["file", "zone", "key"])
-    return got.where("pages >= 2 or files >= 5").select("id", "line_no").distinct()
+    by_file = at.groupBy("file", "zone", "key", "page").agg(F.max(F.col("wording").isNotNull()).alias("s")).groupBy("file", "zone", "key").agg(F.count("page").alias("all_pages"), F.count_if("s").alias("pages"))
+    by_file = by_file.where(f"pages >= 2 or all_pages >= {RECUR}")
+    recurs = at.join(by_file, ["file", "zone", "key"])
+    loose = recurs.where(f"all_pages >= {RECUR}").select("id", "line_no")
+    # many lines may share a wording: only distinct pairs of file and wording meet the wordings
+    pair = strict.where("line_no > 0").select("wording", "file").distinct().join(by_wording, "wording").select("wording", "file", "files")
+    told = strict.where("line_no > 0").join(pair, ["file", "wording"]).join(by_file.select("file", "zone", "key", "pages"), ["file", "zone", "key"], "left").where("pages >= 2 or files >= 5").select("id", "line_no")
+    return told.unionByName(loose).distinct()
 
 
 def scaled(confidence: float | None) -> float | None:
@@ -492,13 +648,21 @@ class Page:
 
     def _words(self, channel: Channel, doubt: float) -> None:
         body = [k for k, x in enumerate(self.lines, 1) if x.strip() and k not in self.running and k not in self.numbers]
-        toks = {k: tokens(self.lines[k - 1]) for k in body}
-        raw = {k: self.lines[k - 1].rstrip() for k in body}
+        settled, raw = channel.is_settled, {k: self.lines[k - 1].rstrip() for k in body}
+        toks: dict[int, list[str]] = {}
+
+        def tokens_of(k: int) -> list[str]:
+            if k not in toks:
+                toks[k] = tokens(raw[k])
+            return toks[k]
+
         for place, k in enumerate(body):
-            ts, entries = toks[k], []
+            if k not in toks and all(map(settled, raw[k].split())):
+                continue  # nothing to choose and nothing broken: the line reads as it stands
+            ts, entries = tokens_of(k), []
             half = None
             if ts and place + 1 < len(body) and raw[k][-1] in _HYPHENS and len(raw[k]) > 1 and (raw[k][-2].isalnum() or raw[k][-2] in "@+ſ'"):
-                after = toks[body[place + 1]]
+                after = tokens_of(body[place + 1])
                 if after and (after[0][0].isalnum() or after[0][0] in "@+ſ"):
                     first = raw[k].split()[-1].lstrip(_STRIP).rstrip(_HYPHENS)
                     if first and any(c.isalpha() for c in first):
@@ -567,25 +731,28 @@ def _pages(image_ingestion: DataFrame) -> DataFrame:
     """
     meta = F.col("metadata")
     of_id = F.regexp_extract("raw_input_id", r"(\d+)-\d+\D*$", 1)
-    file = F.coalesce(F.try_element_at(meta, F.lit("file")), F.concat(F.lit("scan-"), of_id))
+    file = F.coalesce(F.try_element_at(meta, F.lit("file")), F.when(of_id != "", F.concat(F.lit("scan-"), of_id)), F.col("raw_input_id"))
     number = F.coalesce(F.try_element_at(meta, F.lit("page")).try_cast("int"), F.regexp_extract("raw_input_id", r"(\d+)\D*$", 1).try_cast("int"))
-    return image_ingestion.where("raw_input_id is not null").select("raw_input_id", "extracted_text", F.col("ocr_confidence").cast("double").alias("confidence"), file.alias("file"), number.alias("number"))
+    page = F.coalesce(number.cast("string"), F.col("raw_input_id"))  # scans of one page have the same
+    return image_ingestion.where("raw_input_id is not null").select("raw_input_id", "extracted_text", F.col("ocr_confidence").cast("double").alias("confidence"), file.alias("file"), number.alias("number"), page.alias("page"))
 
 
 def _decoded(image_ingestion: DataFrame, make, schema: str) -> DataFrame:
     pages = _pages(image_ingestion)
-    words, counted = word_counts(pages)
+    words, digits, counted = word_counts(pages)
     pairs, letters = pair_counts(pages, words)
-    marks = running_lines(pages, words).groupBy("id").agg(F.collect_list("line_no").alias("running"))  # at most two a page
+    marks = running_lines(pages, words).groupBy("id").agg(F.collect_set("line_no").alias("running"))  # at most 2 LINES a page
     joined = pages.join(marks.withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left")
     if counted is None:
         joined = joined.withColumn("rare", F.lit(None).cast("array<struct<w:string,n:bigint>>"))
     else:
         joined = joined.join(rare_words(pages, words, counted).withColumnRenamed("id", "raw_input_id"), "raw_input_id", "left")
     joined = joined.select("raw_input_id", "extracted_text", "confidence", "number", "running", "rare")
+    # built once and broadcast, at most 1 / SHARE words and as many pairs; each worker keeps it with what it has looked up
+    model = joined.sparkSession.sparkContext.broadcast(Channel(words, pairs, letters, digits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(words, pairs, letters)
+        channel: Channel = model.value
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 rows = []
@@ -593,6 +760,7 @@ def _decoded(image_ingestion: DataFrame, make, schema: str) -> DataFrame:
                     channel.turn(rare)
                     rows += make(i, Page(text, set(running or ()), number, conf, channel))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+        channel.turn(None)
 
     kinds = [(x.split()[0], pa.int32() if x.split()[1] == "int" else pa.string()) for x in schema.split(", ")]
     return joined.mapInArrow(run, schema)
