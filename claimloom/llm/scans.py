@@ -591,20 +591,20 @@ def running_lines(pages: DataFrame, words: dict[str, int]) -> DataFrame:
     """
     least = max(30, sum(words.values()) * 1e-5)
     known = {skeleton(w) for w, n in words.items() if n >= least and w != _NUM}
-    e = cut(_edges(pages, known))
-    strict = e.where("wording is not null")
-    by_wording = strict.groupBy("wording", "file").agg(F.sum((F.col("line_no") > 0).cast("long")).alias("edge"), F.count(F.lit(1)).alias("all"))
-    by_wording = by_wording.groupBy("wording").agg(F.sum("edge").alias("edge"), F.sum("all").alias("all"), F.count("file").alias("files")).where(F.col("edge") >= EDGE * F.col("all"))
-    # where a wording alone is enough, one row for it; else the file's own pages decide
-    at = e.where("line_no > 0")
-    by_file = at.groupBy("file", "zone", "key", "page").agg(F.max(F.col("wording").isNotNull()).alias("s")).groupBy("file", "zone", "key").agg(F.count("page").alias("all_pages"), F.count_if("s").alias("pages"))
-    by_file = by_file.where(f"pages >= 2 or all_pages >= {RECUR}")
-    recurs = at.join(by_file, ["file", "zone", "key"])
-    loose = recurs.where(f"all_pages >= {RECUR}").select("id", "line_no")
-    # many lines may share a wording: only distinct pairs of file and wording meet the wordings
-    pair = strict.where("line_no > 0").select("wording", "file").distinct().join(by_wording, "wording").select("wording", "file", "files")
-    told = strict.where("line_no > 0").join(pair, ["file", "wording"]).join(by_file.select("file", "zone", "key", "pages"), ["file", "zone", "key"], "left").where("pages >= 2 or files >= 5").select("id", "line_no")
-    return told.unionByName(loose).distinct()
+    e = _edges(pages, known)
+    # lines and files by 64-bit hashes: their texts need not travel
+    e = cut(e.select("id", "line_no", "zone", F.xxhash64("file").alias("file"), F.xxhash64("page").alias("page"), F.xxhash64("key").alias("key"), F.when(F.col("wording").isNotNull(), F.xxhash64("wording")).alias("wording")))
+    per_file = e.where("wording is not null").groupBy("wording", "file").agg(F.sum((F.col("line_no") > 0).cast("long")).alias("edge"), F.count(F.lit(1)).alias("all"))
+    told = per_file.groupBy("wording").agg(F.sum("edge").alias("edge"), F.sum("all").alias("all"), F.count(F.lit(1)).alias("files")).where(F.col("edge") >= EDGE * F.col("all"))
+    # many lines may share a wording: the wordings meet distinct pairs of wording and file, the lines meet those pairs
+    pair = per_file.where("edge > 0").select("wording", "file").join(told.select("wording", "files"), "wording")
+    at = e.where("line_no > 0").select("id", "line_no", "zone", "file", "page", "key", "wording")
+    by_file = at.groupBy("file", "zone", "key", "page").agg(F.max(F.col("wording").isNotNull()).alias("s")).groupBy("file", "zone", "key").agg(F.count(F.lit(1)).alias("all_pages"), F.count_if("s").alias("pages"))
+    recurs = at.drop("page").join(by_file.where(f"pages >= 2 or all_pages >= {RECUR}"), ["file", "zone", "key"])
+    usual = at.where("wording is not null").select("id", "line_no", "file", "wording").join(pair.where("files >= 5"), ["file", "wording"])
+    strict = recurs.where("pages >= 2").join(pair, ["file", "wording"], "left_semi")
+    got = usual.select("id", "line_no").unionByName(strict.select("id", "line_no")).unionByName(recurs.where(f"all_pages >= {RECUR}").select("id", "line_no"))
+    return got.distinct()
 
 
 def scaled(confidence: float | None) -> float | None:
