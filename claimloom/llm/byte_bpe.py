@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,11 @@ MEMO = 400_000
 class Encoder:
     """Encodes texts by the ranks of a vocabulary file with lines `base64 rank`."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
         import ahocorasick
         import regex
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.split: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -134,27 +134,30 @@ class Encoder:
             out += ids
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+class _Held:
+    """A vocabulary in a broadcast; a worker builds its encoder once and keeps it."""
 
+    def __init__(self, vocabulary: bytes, pattern: str):
+        self.vocabulary, self.pattern, self.built = vocabulary, pattern, None
 
-def encoder(path: str, pattern: str = PATTERN) -> Encoder:
-    """The encoder of this worker process, built once."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    def encoder(self) -> Encoder:
+        if self.built is None:
+            self.built = Encoder(self.vocabulary, self.pattern)
+        return self.built
 
 
 def encode(df: DataFrame, identifier: str, text: str, path: str = f"{FOLDER}/byte_bpe_50k.tiktoken", pattern: str = PATTERN) -> DataFrame:
     """(identifier, ids): the token ids of every row's text, without special tokens.
 
     An empty or null text has the empty list. Strings of special tokens in a text are ordinary text. Repeated rows come
-    out repeated; other columns take no part.
+    out repeated; other columns take no part. The vocabulary file is read by the driver and broadcast: a megabyte or so.
     """
+    held = df.sparkSession.sparkContext.broadcast(_Held(Path(path).read_bytes(), pattern))
     got = df.select(identifier, text)
     kind = dict(got.dtypes)[identifier]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = held.value.encoder()
         for b in batches:
             step = 512
             for k in range(0, b.num_rows, step):

@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Consecutive words that make a leak.
 RUN = 12
-#: Test items in one automaton. More are handled in further blocks, each over the whole corpus, so a worker's memory is bounded.
-BLOCK = 20_000
+#: Words of the test items in one automaton, about. More are handled in further blocks, each over the whole corpus, so that the
+#: memory of workers and driver is bounded; the driver holds one block at a time.
+BLOCK_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
-_FIRST, _OTHER = 0xF0000, "\x01"
+_FIRST, _OTHER = 0x10000, "\x01"
 _ROOM = 0x110000 - _FIRST - 2  # characters there are for words
 
 
@@ -35,8 +38,8 @@ class Passages:
             chars = []
             for w in _WORD.findall((text or "").lower()):
                 if w not in self.code:
-                    if len(self.code) >= _ROOM:
-                        raise ValueError("too many words for one automaton; use smaller blocks")
+                    if len(self.code) >= _ROOM:  # a million different words in one block
+                        raise ValueError("too many words for one automaton; use a smaller block_words")
                     self.code[w] = chr(_FIRST + len(self.code))
                 chars.append(self.code[w])
             for k in range(len(chars) - run + 1):
@@ -53,9 +56,12 @@ class Passages:
         if not text or not self.size:
             return []
         get, places, chars = self.code.get, [], []
-        for m in _WORD.finditer(text):
-            places.append(m.span())
-            chars.append(get(m.group().lower(), _OTHER))
+        low = text.lower()
+        at = None if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]  # a letter may become two
+        for m in _WORD.finditer(low):
+            a, b = m.span()
+            places.append((a, b) if at is None else (at[a], at[b - 1] + 1))
+            chars.append(get(m.group(), _OTHER))
         if len(chars) < self.run:
             return []
         open_: dict[tuple[int, str], list[int]] = {}
@@ -82,55 +88,58 @@ class Passages:
         return {i for _, who in self.auto.iter(chars) for i, p in who if p == part}
 
 
-def _blocks(items: DataFrame, block: int) -> list[list[tuple[int, str, str | None]]]:
-    """The items in blocks of at most about `block`; empty and null texts hold no passage, items without an id are left out."""
+class _Held:
+    """Rows of items in a broadcast; a worker builds their automaton once and keeps it."""
+
+    def __init__(self, rows: list[tuple[int, str, str | None]], run: int):
+        self.rows, self.run, self.built = rows, run, None
+
+    def passages(self) -> Passages:
+        if self.built is None:
+            self.built = Passages(self.rows, self.run)
+        return self.built
+
+
+def _scan(documents: DataFrame, items: DataFrame, run: int, block_words: int, hits, schema: str) -> DataFrame:
+    """(doc_id, ...) of `hits` (automaton, text) over all documents and all blocks of items; null texts and items without an id are left out."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     rows = items.select(F.col("item_id").cast("long").alias("i"), F.explode(F.array(
         F.struct(F.lit("text").alias("p"), F.col("text").alias("t")), F.struct(F.lit("answer").alias("p"), F.col("answer").alias("t")))).alias("s"))
     rows = rows.select("i", "s.p", "s.t").where("i is not null and t is not null and trim(t) != ''")
-    n = rows.count()
-    if n <= block:
-        return [[(r.i, r.p, r.t) for r in rows.collect()]]
-    parts = -(-n // block)
-    return [[(r.i, r.p, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()] for k in range(parts)]
+    words = rows.agg(F.sum(F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    parts = max(1, -(-words // block_words))
+    kinds = [pa.string() if x.split()[1] == "string" else pa.int64() if x.split()[1] == "long" else pa.int32() for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
+    out = None
+    for k in range(parts):
+        block = rows.where(F.pmod(F.xxhash64("i", "p"), F.lit(parts)) == k) if parts > 1 else rows
+        held = docs.sparkSession.sparkContext.broadcast(_Held([(r.i, r.p, r.t) for r in block.collect()], run))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            auto = held.value.passages()
+            for b in batches:
+                got = [(d, *h) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for h in hits(auto, t)]
+                cols = list(zip(*got, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        part = docs.mapInArrow(scan, schema)
+        part = part if parts == 1 else cut(part)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id): each document that holds at least `run` consecutive words of the item's text.
 
     Words are runs of letters and digits; case, punctuation and white space do not matter. Null and empty texts and
     items of fewer words match nothing. A repeated document comes out once for each row.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    out = None
-    for rows in _blocks(items, block):
-        def scan(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            auto = Passages(rows, run)
-            for b in batches:
-                ids, got = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                hits = [(d, i) for d, t in zip(ids, got, strict=True) for i in sorted(auto.items(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], ["doc_id", "item_id"])
-
-        part = docs.mapInArrow(scan, "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _scan(documents, items, run, block_words, lambda auto, t: [(i,) for i in sorted(auto.items(t))], "doc_id long, item_id long")
 
 
-def leak_spans(documents: DataFrame, items: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def leak_spans(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, part, start, end): every leaked passage with its place in the original text, answers included."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    out = None
-    for rows in _blocks(items, block):
-        def scan(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            auto = Passages(rows, run)
-            for b in batches:
-                hits = [(d, *s) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for s in auto.spans(t)]
-                cols = list(zip(*hits, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "part", "start", "end"])
-
-        part = docs.mapInArrow(scan, "doc_id long, item_id long, part string, start int, end int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _scan(documents, items, run, block_words, lambda auto, t: auto.spans(t), "doc_id long, item_id long, part string, start int, end int")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

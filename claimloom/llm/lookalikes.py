@@ -5,7 +5,8 @@ offsets place the results; marks are ordered and composed by array operations. N
 
 What cannot be seen is made equal: invisible characters, kinds of blank, full-width forms, letters of other scripts
 drawn alike, ligatures and other codings of one letter. What can be seen stays: case, accents, dots, raised digits,
-fractions, added marks, and joiners that choose the shape of a conjunct.
+fractions, added marks, joiners that choose the shape of a conjunct, and the styles of mathematical letters (bold, italic,
+script), but for the upright sans-serif ones.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
     "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
     "Օ": "O", "Ս": "U", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S",
-    "Ꭲ": "T", "Ꮃ": "W", "Ꮓ": "Z", "ꓐ": "B", "ꓚ": "C", "ꓢ": "S", "ꓑ": "P", "ꓔ": "T", "ⅼ": "l", "ɡ": "g", "ℎ": "h",
+    "Ꭲ": "T", "Ꮃ": "W", "Ꮓ": "Z", "Ꭰ": "D", "Ꮐ": "G", "Ꮢ": "R", "Ꮩ": "V", "Ꭵ": "i", "ꭺ": "ᴀ", "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G",
+    "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X",
+    "ꓬ": "Y", "ꓜ": "Z", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
+    "Ѵ": "V", "ѵ": "v", "ѡ": "w", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ⅼ": "l", "ɡ": "g", "ℎ": "h",
+    "‚": ",", "٫": ",", "ǃ": "!", "։": ":", "꞉": ":", "∶": ":", "ː": ":", "․": ".", "ꓸ": ".",
 }
 # Further codings of one letter, as the parts it is drawn of.
 PARTS = {
@@ -60,14 +65,14 @@ def _target(c: str) -> str:
         return "-"
     d = unicodedata.decomposition(c)
     tag = d.split(" ", 1)[0] if d.startswith("<") else ""
-    if tag in ("<wide>", "<narrow>") or tag == "<compat>" and kind in ("Lu", "Ll", "Lt", "Nl", "Lo") and not 0x3130 <= o <= 0x318F:
-        return "".join(_target(x) for x in unicodedata.normalize("NFKD", c))
-    out = []
-    for x in unicodedata.normalize("NFD", c):
-        x = ALIKE.get(x, x)
-        p = PARTS.get(x)
-        out.append(x if p is None or p == x else "".join(_target(y) if y != x else y for y in p))
-    return "".join(out)
+    letters = kind in ("Lu", "Ll", "Lt", "Nl", "Lo") and not 0x3130 <= o <= 0x318F
+    if tag in ("<wide>", "<narrow>") or tag == "<compat>" and letters or tag == "<font>" and 0x1D5A0 <= o <= 0x1D5D3:
+        return "".join(map(_target, unicodedata.normalize("NFKD", c)))
+    parts = unicodedata.normalize("NFD", c)
+    if parts == c:
+        parts = ALIKE.get(c, PARTS.get(c, c))
+    # each part may itself be one of these, so the form is the same whichever way a letter is coded
+    return c if parts == c else "".join(x if x == c else _target(x) for x in parts)
 
 
 @cache
@@ -214,21 +219,41 @@ def canonical(df: DataFrame, identifier: str, columns: list[str]) -> DataFrame:
     return got.mapInArrow(run, schema)
 
 
+def _looks(df: DataFrame, identifier: str, columns: list[str]) -> DataFrame:
+    """(id, field, l1, l2, f1, f2): the look and the spelling of every text, each as two hashes; nulls and texts in which nothing can be seen are left out."""
+    c = canonical(df.where(F.col(identifier).isNotNull()), identifier, columns)
+    two = lambda x, n: [F.xxhash64(x).alias(f"{n}1"), F.xxhash64(F.lit(1), F.col(x)).alias(f"{n}2")]
+    each = [F.when(F.trim(f"{x}_canonical") != "", F.struct(F.lit(x).alias("field"), *two(f"{x}_canonical", "l"), *two(x, "f"))) for x in columns]
+    return c.select(F.col(identifier).cast("long").alias("id"), F.explode(F.array(*each)).alias("s")).where("s is not null").select("id", "s.*")
+
+
+LOOK = ["field", "l1", "l2"]
+
+
 def same_look(df: DataFrame, identifier: str, columns: list[str]) -> DataFrame:
     """(field, id_low, id_high): pairs of rows whose `field` looks the same but is not the same string.
 
     Nulls, and texts in which nothing can be seen, take no part. Groups are joined by their distinct spellings, so that
     many copies of one spelling are never compared with each other; rows are attached to the pairs of spellings after.
+    `look_classes` has the same as classes, without pairs.
     """
-    c = canonical(df, identifier, columns)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("field"), F.unhex(F.md5(f"{x}_canonical")).alias("look"), F.unhex(F.md5(x)).alias("form"), (F.trim(f"{x}_canonical") != "").alias("seen")) for x in columns]))
-    rows = c.select(F.col(identifier).cast("long").alias("id"), stack.alias("s")).select("id", "s.*").where("form is not null and seen").drop("seen")
-    rows = cut(rows)
-    many = rows.groupBy("field", "look").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a != b").select("field", "look")
-    live = rows.join(many, ["field", "look"], "left_semi")
-    forms = cut(live.groupBy("field", "look", "form").agg(F.count(F.lit(1)).alias("n")))
-    pair = forms.select("field", "look", F.col("form").alias("x")).join(forms.select("field", "look", F.col("form").alias("y")), ["field", "look"]).where("x < y")
-    got = pair.join(rows.select("field", F.col("form").alias("x"), F.col("id").alias("i")), ["field", "x"])
-    got = got.join(rows.select("field", F.col("form").alias("y"), F.col("id").alias("j")), ["field", "y"])
+    rows = cut(_looks(df, identifier, columns))
+    ends = [f(c).alias(f"{c}{n}") for c in ("f1", "f2") for n, f in (("a", F.min), ("b", F.max))]
+    many = rows.groupBy(*LOOK).agg(*ends).where("f1a != f1b or f2a != f2b").select(*LOOK)
+    live = cut(rows.join(many, LOOK, "left_semi"))
+    forms = live.select(*LOOK, "f1", "f2").distinct()
+    named = lambda f, a: f.withColumnsRenamed({"f1": f"{a}1", "f2": f"{a}2"})
+    pair = named(forms, "x").join(named(forms, "y"), LOOK).where(F.struct("x1", "x2") < F.struct("y1", "y2")).drop("l1", "l2")
+    own = live.drop("l1", "l2")
+    got = pair.join(named(own, "x").withColumnRenamed("id", "i"), ["field", "x1", "x2"]).join(named(own, "y").withColumnRenamed("id", "j"), ["field", "y1", "y2"])
     return got.where("i != j").select("field", F.least("i", "j").alias("id_low"), F.greatest("i", "j").alias("id_high"))
+
+
+def look_classes(df: DataFrame, identifier: str, columns: list[str]) -> DataFrame:
+    """(field, class_id, rows, spellings): the classes of texts that look the same, by their smallest identifier.
+
+    Counted in two steps, by spelling and then by look, with partial sums in each; a look of many rows is no large group.
+    """
+    rows = _looks(df, identifier, columns)
+    by_form = rows.groupBy(*LOOK, "f1", "f2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return by_form.groupBy(*LOOK).agg(F.min("id").alias("class_id"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings")).drop("l1", "l2")

@@ -42,6 +42,7 @@ def _subjects(spark, d):
 QUERIES = {
     "p1_found": lambda s, d: lookalikes.same_look(_multilingual(s, d), "claim_key", _FIELDS),
     "p1_canonical": lambda s, d: lookalikes.canonical(_multilingual(s, d), "claim_key", _FIELDS),
+    "p1_classes": lambda s, d: lookalikes.look_classes(_multilingual(s, d), "claim_key", _FIELDS),
     "p2_found": lambda s, d: copies.table_copies(*_both(s, d)),
     "p2_groups": lambda s, d: copies.table_groups(*_both(s, d)),
     "p3_found": lambda s, d: overlap.overlap_pairs(*_splits(s, d)),

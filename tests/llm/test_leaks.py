@@ -35,7 +35,7 @@ def test_against_brute_force(spark, rows):
     d = spark.createDataFrame([(*x, "n") for x in docs], "doc_id long, text string, item_id string")
     e = spark.createDataFrame(items, ITEMS)
     assert rows(leaks.leaked_items(d, e)) == sorted(want, key=repr) and len(want) > 10
-    assert rows(leaks.leaked_items(d, e, block=4)) == sorted(want, key=repr)
+    assert rows(leaks.leaked_items(d, e, block_words=120)) == sorted(want, key=repr)
     assert rows(leaks.leaked_items(d.where("false"), e)) == [] and rows(leaks.leaked_items(d, e.where("false"))) == []
     assert leaks.leak_report(d, e).count() == len(items)
 
@@ -47,3 +47,14 @@ def test_spans_are_places_in_the_original():
     (a, b) = p.spans(text)
     assert a[:2] == (1, "text") and b[:2] == (2, "answer") and text[a[2]:a[3]].startswith("ALPHA") and text[a[2]:a[3]].endswith("nu")
     assert p.items(text) == {1} and p.items(None) == set()
+
+
+def test_letters_that_grow_in_lower_case_and_many_words():
+    item = "İstanbul beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    p = leaks.Passages([(1, "text", item)])
+    text = f"İİ {item.replace(' ', ', ')}!"
+    assert p.items(text) == {1}
+    ((_, _, a, b),) = p.spans(text)
+    assert text[a:b].startswith("İstanbul") and text[a:b].endswith("mu")
+    many = [(k, "text", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(8_000)]  # 160,000 different words
+    assert leaks.Passages(many).items(many[7_777][2].upper()) == {7_777}

@@ -68,3 +68,33 @@ def test_pairs(spark, rows):
                     want.add((("original_text", "canonical_indic_text")[f - 1], data[i][0], data[j][0]))
     assert set(rows(lk.same_look(df, "claim_key", ["original_text", "canonical_indic_text"]))) == want
     assert rows(lk.same_look(spark.createDataFrame([], SCHEMA), "claim_key", ["original_text"])) == []
+
+
+def test_every_coding_of_every_letter_has_one_form():
+    every = [chr(o) for o in (*range(0xD800), *range(0xE000, 0x30000)) if unicodedata.category(chr(o)) != "Cn"]
+    for form in ("NFD", "NFC"):
+        other = [unicodedata.normalize(form, c) for c in every]
+        bad = [c for c, x, y in zip(every, canon(*every), canon(*other), strict=True) if x != y]
+        assert not bad, [hex(ord(c)) for c in bad[:9]]
+    once = canon(*every)
+    assert canon(*once) == once
+    rng = random.Random(8)
+    odd = [c for c in every if unicodedata.decomposition(c)] + ["\u0301", "\u0323", "a", "A"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 7))) for _ in range(20_000)]
+    assert canon(*texts) == canon(*[unicodedata.normalize("NFD", x) for x in texts])
+
+
+def test_letters_drawn_alike():
+    for a, b in [("AOI", "\ua4ee\ua4f3\ua4f2"), ("i", "\u13a5"), ("op", "\u2c9f\u2ca3"), ("o", "\u1d0f"), ("v", "\u0475"), ("a,b!", "a\u201ab\u01c3"), ("a", "\U0001d5ba")]:
+        x, y = canon(a, b)
+        assert x == y == a, (a, b)
+    x, y = canon("a", "\U0001d41a")  # bold can be seen
+    assert x != y
+
+
+def test_classes_and_hot_looks(spark, rows):
+    data = [(k, "pace" if k % 2 else "p\u0430ce", None) for k in range(2, 60)] + [(60, "x", ""), (61, None, " "), (None, "pace", "q"), (62, "x", "q")]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = rows(lk.look_classes(df, "claim_key", ["original_text", "canonical_indic_text"]))
+    assert got == [("canonical_indic_text", 62, 1, 1), ("original_text", 2, 58, 2), ("original_text", 60, 2, 1)]
+    assert lk.same_look(df, "claim_key", ["original_text"]).count() == 29 * 29
