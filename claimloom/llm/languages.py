@@ -32,8 +32,9 @@ TRAIN_ROWS = 8_000
 CENTROIDS = 5
 #: Price of a change of language, in cosines of words.
 CHANGE = 0.55
-#: A stretch below this cosine belongs to no known language.
-REJECT = 0.04
+#: A stretch belongs to no known language if it is farther from its nearest centroid than nearly all stretches of that length and
+#: language in the sample from theirs: its cosine is below ROOM times this quantile of theirs. Lengths in words, each for stretches up to the next.
+REJECT, ROOM, LENGTHS = 0.002, 0.85, (1, 3, 5, 8)
 #: Words a stretch has at least, in a text of several stretches.
 LEAST_WORDS = 3
 #: In fitting, a sample row's own label holds unless another language is more than so many times as like.
@@ -96,10 +97,11 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights by bucket, centroids (DIM x centroids) and the language of each centroid."""
+    """Weights by bucket, centroids (DIM x centroids), the language of each centroid, and the least cosine of each language for each of LENGTHS."""
 
-    def __init__(self, weight: np.ndarray, centroids: np.ndarray, owner: np.ndarray):
+    def __init__(self, weight: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray | None = None):
         self.weight, self.centroids, self.owner = weight, centroids, owner
+        self.floors = np.full((len(LANGUAGES), len(LENGTHS)), 1e-9) if floors is None else floors
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Cosine of each word with each centroid."""
@@ -198,7 +200,19 @@ def fit(sample: list[tuple[str, str]], counts: np.ndarray, centroids: int = CENT
             if (part == j).any():
                 owner.append(k)
                 parts.append(centroid((part == j).astype(float)))
-    return Model(weight, np.stack(parts, 1), np.array(owner))
+    model = Model(weight, np.stack(parts, 1), np.array(owner))
+    scored = model.word_scores(list(number))[pw].astype(np.float64)
+    sums = np.concatenate([np.zeros((1, scored.shape[1])), np.cumsum(scored, 0)])
+    mine = model.owner[None] == label_[po][:, None]
+    for j, n in enumerate(LENGTHS):  # all stretches of n words of a piece that look most like its language, by their nearest centroid
+        at = np.nonzero(po[n - 1:] == po[:len(po) - n + 1])[0] if len(po) >= n else np.empty(0, int)
+        mean = (sums[at + n] - sums[at]) / n
+        near, top = mean.argmax(1) if len(at) else at, mean.max(1, initial=-1.0)
+        own = mine[at, near]
+        lang, top = model.owner[near[own]], top[own]
+        for k in np.unique(lang):
+            model.floors[k, j] = max(ROOM * np.quantile(top[lang == k], REJECT), 1e-9)
+    return model
 
 
 class Segmenter:
@@ -240,9 +254,10 @@ class Segmenter:
         by = np.stack([mean[:, owner == k].max(1) for k in langs], 1)
         best = by.argmax(1)
         seg_row, top = row[at], by.max(1)
+        floor = self.m.floors[langs[best], np.searchsorted(LENGTHS, size, side="right") - 1]
         share = np.clip(by, 0, None) ** 2
         conf = share.max(1) / np.maximum(share.sum(1), 1e-9)
-        ok = top >= REJECT
+        ok = top >= floor
         seg_row, best, conf = seg_row[ok], best[ok], conf[ok]
         if not len(seg_row):
             return seg_row, seg_row, seg_row, conf
@@ -323,8 +338,10 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
     `rows` has (tbl, id, text, label). A text without words, an empty and a null text have no stretch.
     """
 
+    held = rows.sparkSession.sparkContext.broadcast(Segmenter(model))  # of fixed size; a worker keeps it with the words it has seen
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(model)
+        seg: Segmenter = held.value
         names = np.array(LANGUAGES, object)
         for b in batches:
             for k in range(0, b.num_rows, 2048):

@@ -46,3 +46,17 @@ def test_held_out_accuracy_with_wrong_labels():
 def test_empty(spark, rows):
     assert rows(g.wrong_labels(spark.createDataFrame([], C), spark.createDataFrame([], M))) == []
     assert rows(g.wrong_labels(spark.createDataFrame([(1, "some words here", None)], C), spark.createDataFrame([], M))) == []  # nothing to learn from
+
+
+def test_languages_that_are_not_known_are_rejected():
+    data = [(t, {"en": "en", "hi-Latn": "hinglish", " BN ": "bn"}[x]) for _, t, x in rows_of()]
+    texts = [t for t, _ in data]
+    joined = np.zeros(g.DIM, np.int64)
+    words = [w for t in texts for w in g.words_of(t)]
+    row, bucket = g._grams(words)
+    np.add.at(joined, np.unique(row * g.DIM + bucket) % g.DIM, 1)
+    seg = g.Segmenter(g.fit(data, joined))
+    foreign = ["Le chat est assis sur la table et regarde la neige qui tombe", "El perro corre por el parque y los niños juegan con la pelota", "Der Hund läuft schnell durch den Wald und die Kinder spielen",
+               "Кошка сидит на столе и смотрит в окно", "આજે હવામાન સારું છે અને અમે બગીચામાં જઈશું"]
+    assert not len(seg.run(foreign)[0])
+    assert len(seg.run([EN.format("fig"), HG.format("fig"), BN.format("fig")])[0]) == 3
