@@ -57,6 +57,7 @@ QUERIES = {
     "p7_report": lambda s, d: leaks.leak_report(_documents(s, d), table(s, d, "eval_items")),
     "p8_found": lambda s, d: subjects.document_areas(*_subjects(s, d)).select("doc_id", "area"),
     "p8_areas": lambda s, d: subjects.corpus_by_area(*_subjects(s, d)),
+    "p8_calibration": lambda s, d: subjects.calibration(*_subjects(s, d)),
 }
 def _bare(v: str) -> str:
     """`copies.bare` in SQL, character by character."""

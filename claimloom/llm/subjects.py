@@ -3,8 +3,8 @@
 Complement naive Bayes over hashed words and word pairs, trained from labelled documents and refined by
 expectation-maximization over all documents, sentence by sentence: a sentence's posterior combines its own words with
 the areas of its document, so that what stands in documents of every area stays without weight. Each area's posterior
-is then calibrated by itself from the corpus. A sentence belongs to its best area if that posterior reaches SURE.
-A document deals with an area that at least a fifth of its sentences with an area belong to.
+is then calibrated by itself on labelled documents held out of the training; that labels are incomplete and partly wrong
+is part of the fit. A sentence belongs to every area whose posterior reaches SURE. A document deals with an area that at least a fifth of its sentences with an area belong to.
 """
 
 from __future__ import annotations
@@ -39,7 +39,11 @@ FULL = 50
 #: Posterior from which a sentence belongs to an area, and the part of its features that must speak for it: a long
 #: sentence of no area may hold a few words of one.
 SURE, SPEAKING = 0.7, 0.12
-_BINS, _LOW, _HIGH = 80, -20.0, 60.0
+#: One labelled document in HELD (by hash) is kept from the training, for the calibration.
+HELD = 5
+_BINS, _LOW, _HIGH = 120, -20.0, 40.0
+#: Buckets of one row of sums on their way to the driver.
+_PART = 1 << 12
 _LETTER, _JOIN, _END, _CLOSE, _LINE, _BLANK, _UPPER = 1, 2, 4, 8, 16, 32, 64
 
 
@@ -182,20 +186,36 @@ def _posterior(s: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _sums(df: DataFrame, run, areas: int, size: int) -> np.ndarray:
-    """Sums by bucket over all partitions; `size` x `areas` numbers reach the driver, whatever the corpus."""
-    cols = [f"a{k}" for k in range(areas)]
-    got = df.mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in cols))
-    got = got.groupBy("b").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toArrow()
-    out = np.zeros((size, areas), np.float32)
-    at = got.column("b").to_numpy()
-    for k, c in enumerate(cols):
-        out[at, k] = got.column(c).to_numpy()
-    return out
+    """Sums by bucket over all partitions; `size` x `areas` numbers reach the driver, whatever the corpus.
+
+    A task sends the buckets that it has, packed; a group of buckets is summed up as its rows stream in.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros((_PART, areas)), 0
+        for b in batches:
+            for part, at, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(value, np.float32).reshape(-1, areas)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "value"])
+
+    got = df.mapInArrow(run, "part int, at binary, value binary").groupBy("part").applyInArrow(merge, "part int, value binary").toArrow()
+    out = np.zeros((-(-size // _PART) * _PART, areas), np.float32)
+    for part, value in zip(got.column("part").to_pylist(), got.column("value").to_pylist(), strict=True):
+        out[part * _PART:(part + 1) * _PART] = np.frombuffer(value, np.float32).reshape(-1, areas)
+    return out[:size]
 
 
 def _emit(total: np.ndarray) -> pa.RecordBatch:
-    i = np.nonzero(total.sum(1) > 0)[0]
-    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *[pa.array(total[i, k]) for k in range(total.shape[1])]], ["b", *[f"a{k}" for k in range(total.shape[1])]])
+    """The sums of a task; a value of single precision is enough, as thousands of tasks are added in double."""
+    parts, places, values = [], [], []
+    for k in range(0, len(total), _PART):
+        t = total[k:k + _PART]
+        i = np.nonzero(t.any(1))[0]
+        if len(i):
+            parts.append(k // _PART)
+            places.append(i.astype(np.uint16).tobytes())
+            values.append(t[i].astype(np.float32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["part", "at", "value"])
 
 
 def _count(f: np.ndarray, start: np.ndarray, doc: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
@@ -205,15 +225,20 @@ def _count(f: np.ndarray, start: np.ndarray, doc: np.ndarray, p: np.ndarray, tot
         total[:, a] += np.bincount(f, np.repeat(p[:, a], n), DIM)
 
 
-def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most: int = TRAIN_LABELS) -> np.ndarray:
-    """Feature counts by area from labelled documents; a document's labels share it in proportion to their rows."""
-    rows = labels.where(F.col("area").isin(*areas) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "area")
+def _labelled(documents: DataFrame, labels: DataFrame, areas: list[str], held: bool, most: int) -> DataFrame:
+    """(text, a0, a1, ...): the documents with labels and how many rows give them each area, held out of the training or not; at most about `most` labels."""
+    of = F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id")), F.lit(HELD)) == 0
+    rows = labels.where(F.col("area").isin(*areas) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "area").where(of if held else ~of)
     n = rows.count()
     if n > most:  # a share of about `most` rows, by hash
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     each = rows.groupBy("doc_id").pivot("area", areas).count().na.fill(0)
     each = each.select("doc_id", *[F.col(f"`{a}`").cast("double").alias(f"a{k}") for k, a in enumerate(areas)])
-    got = documents.join(F.broadcast(each), "doc_id").select("text", *[f"a{k}" for k in range(len(areas))])  # about `most` short rows at the most
+    return documents.join(F.broadcast(each), "doc_id").select("text", *[f"a{k}" for k in range(len(areas))])  # about `most` short rows at the most
+
+
+def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most: int = TRAIN_LABELS) -> np.ndarray:
+    """Feature counts by area from labelled documents; a document's labels share it in proportion to their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIM, len(areas)))
@@ -225,15 +250,15 @@ def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most
                 _count(f, start, doc, share[doc], total)
         yield _emit(total)
 
-    return _sums(got, run, len(areas), DIM)
+    return _sums(_labelled(documents, labels, areas, False, most), run, len(areas), DIM)
 
 
 def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
     """One round of expectation-maximization over all documents: new feature counts."""
-    areas = w.shape[1]
+    areas, held = w.shape[1], documents.sparkSession.sparkContext.broadcast(w)  # DIM x areas numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((DIM, areas))
+        w, total = held.value, np.zeros((DIM, areas))
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
@@ -245,71 +270,65 @@ def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
     return _sums(documents.select("text"), run, areas, DIM)
 
 
-def calibrate(documents: DataFrame, w: np.ndarray) -> np.ndarray:
-    """(areas, 2): slope and offset of each area's own logistic posterior, from all sentences of the corpus.
+def calibrate(documents: DataFrame, labels: DataFrame, areas: list[str], w: np.ndarray, most: int = TRAIN_LABELS) -> tuple[np.ndarray, float]:
+    """((areas, 2), error): slope and offset of each area's own logistic posterior, and the expected calibration error.
 
-    Scores are binned over the corpus with the mean posterior of each bin; a logistic curve is fitted to the bins.
+    Fitted to whether held-out labels give the area to the documents of the sentences, by score. A label may be missing
+    or wrong, and a labelled document has sentences of other areas, so the share of documents so labelled runs from a
+    floor to a ceiling, both fitted for all areas in common; the posterior is the part between. Slopes and offsets are
+    drawn a little towards the common ones, as an area may have few labels.
     """
-    areas = w.shape[1]
+    held, k = documents.sparkSession.sparkContext.broadcast(w), len(areas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * _BINS, areas))
+        total = np.zeros((2 * _BINS, k))
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                part = b.slice(k, 4096)
-                f, start, doc = features(part.column(0))
-                if not len(f):
-                    continue
-                s = _scores(w, f, start)
-                p = _posterior(s, doc, part.num_rows)
-                weight = np.minimum(1.0, FULL / np.bincount(doc)[doc])
-                i = np.clip(((s - _LOW) / (_HIGH - _LOW) * _BINS).astype(int), 0, _BINS - 1)
-                for a in range(areas):
-                    total[:_BINS, a] += np.bincount(i[:, a], weight, _BINS)
-                    total[_BINS:, a] += np.bincount(i[:, a], p[:, a] * weight, _BINS)
+            given = np.stack([b.column(a + 1).to_numpy() for a in range(k)], 1) > 0
+            f, start, doc = features(b.column(0))
+            if not len(f):
+                continue
+            s = _scores(held.value, f, start)
+            weight = np.minimum(1.0, FULL / np.bincount(doc)[doc])
+            i = np.clip(((s - _LOW) / (_HIGH - _LOW) * _BINS).astype(int), 0, _BINS - 1)
+            for a in range(k):
+                total[:_BINS, a] += np.bincount(i[:, a], weight, _BINS)
+                total[_BINS:, a] += np.bincount(i[:, a], given[doc, a] * weight, _BINS)
         yield _emit(total)
 
-    got = _sums(documents.select("text"), run, areas, 2 * _BINS)
-    x = _LOW + (np.arange(_BINS) + 0.5) * (_HIGH - _LOW) / _BINS
-    out = np.zeros((areas, 2))
-    for a in range(areas):
-        n, y = got[:_BINS, a], got[_BINS:, a]
-        seen = n > 0
-        if not seen.any():
-            out[a] = 1.0, -4.0
-            continue
-        xs, ns, ys = x[seen], n[seen], np.clip(y[seen] / n[seen], 1e-4, 1 - 1e-4)
-        beta = np.array([0.5, -2.0])
-        for _ in range(50):  # Newton steps, slightly ridged
-            z = 1 / (1 + np.exp(-np.clip(beta[0] * xs + beta[1], -30, 30)))
-            g = np.array([(ns * (ys - z) * xs).sum(), (ns * (ys - z)).sum()]) - 1e-3 * beta
-            v = ns * z * (1 - z)
-            h = np.array([[(v * xs * xs).sum(), (v * xs).sum()], [(v * xs).sum(), v.sum()]]) + 1e-3 * np.eye(2)
-            step = np.linalg.solve(h, g)
-            beta = beta + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-6:
-                break
-        out[a] = beta
-    return out
+    got = _sums(_labelled(documents, labels, areas, True, most), run, k, 2 * _BINS).astype(np.float64)
+    n, y = got[:_BINS], got[_BINS:]
+    x = (_LOW + (np.arange(_BINS) + 0.5) * (_HIGH - _LOW) / _BINS)[:, None] / 10
+    # floor and ceiling as log odds, then common slope and offset, then what each area adds to them
+    theta = np.concatenate([[-2.0, 2.0, 5.0, -3.0], np.zeros(2 * k)])
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 3001):  # gradient steps with momentum on the binned likelihood
+        low, top = 1 / (1 + np.exp(-theta[:2]))
+        p = 1 / (1 + np.exp(-np.clip(x * (theta[2] + theta[4:4 + k]) + theta[3] + theta[4 + k:], -30, 30)))
+        q = np.clip(low + (top - low) * p, 1e-6, 1 - 1e-6)
+        d = (n * q - y) / (q * (1 - q)) / max(n.sum(), 1.0)
+        dz = d * (top - low) * p * (1 - p)
+        g = np.concatenate([[(d * (1 - p)).sum() * low * (1 - low), (d * p).sum() * top * (1 - top), (dz * x).sum(), dz.sum()], (dz * x).sum(0) + 1e-3 * theta[4:4 + k] / k, dz.sum(0) + 1e-3 * theta[4 + k:] / k])
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        theta -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
+    error = float(np.abs(n * q - y).sum() / max(n.sum(), 1.0))
+    return np.stack([(theta[2] + theta[4:4 + k]) / 10, theta[3] + theta[4 + k:]], 1), error
 
 
 class Classifier:
-    """Areas, feature weights and calibration."""
+    """Areas, feature weights, calibration and its error on held-out labels."""
 
-    def __init__(self, areas: list[str], w: np.ndarray, curve: np.ndarray):
-        self.areas, self.w, self.curve = areas, w, curve
+    def __init__(self, areas: list[str], w: np.ndarray, curve: np.ndarray, error: float = 0.0):
+        self.areas, self.w, self.curve, self.error = areas, w, curve, error
 
-    def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, best area, its posterior) of every sentence; 0 where too few features speak for the area."""
+    def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(document, posterior of each area) of every sentence; 0 where too few features speak for the area."""
         f, start, doc = features(texts)
         if not len(f):
-            return doc, doc, np.empty(0)
+            return doc, np.empty((0, len(self.areas)))
         s = _scores(self.w, f, start)
         p = 1 / (1 + np.exp(-np.clip(s * self.curve[:, 0] + self.curve[:, 1], -30, 30)))
-        best = s.argmax(1)
-        n = np.diff(np.r_[start, len(f)])
-        speaking = np.add.reduceat((self.w[f, np.repeat(best, n)] > 1.0).astype(np.float32), start)
-        return doc, best, np.where(speaking >= SPEAKING * n, p[np.arange(len(p)), best], 0.0)
+        speaking = np.add.reduceat((self.w[f] > 1.0).astype(np.float32), start, axis=0)
+        return doc, np.where(speaking >= SPEAKING * np.diff(np.r_[start, len(f)])[:, None], p, 0.0)
 
 
 def train(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, rounds: int = ROUNDS) -> Classifier:
@@ -318,7 +337,7 @@ def train(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, rou
     w = weights(first_counts(documents, labels, areas))
     for _ in range(rounds):
         w = weights(refine(documents, w))
-    return Classifier(areas, w, calibrate(documents, w))
+    return Classifier(areas, w, *calibrate(documents, labels, areas, w))
 
 
 def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, part: int = PART) -> DataFrame:
@@ -332,20 +351,21 @@ def document_areas(documents: DataFrame, labels: DataFrame, subject_areas: DataF
     out = "doc_id long, area string, sentences int, share double, posterior double"
     if subject_areas.where("area is not null").limit(1).count() == 0:
         return docs.sparkSession.createDataFrame([], out)
-    c = train(docs, labels, subject_areas)
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, subject_areas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Classifier = held.value
         k = len(c.areas)
         names = np.array(c.areas, object)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 chunk = b.slice(at, 4096)
-                doc, area, p = c.sentences(chunk.column(1))
-                sure = p >= SURE
-                key = doc[sure] * k + area[sure]
+                doc, p = c.sentences(chunk.column(1))
+                row, area = np.nonzero(p >= SURE)
+                key = doc[row] * k + area
                 n = np.bincount(key, minlength=chunk.num_rows * k).reshape(-1, k)
-                q = np.bincount(key, p[sure], chunk.num_rows * k).reshape(-1, k)
-                total = n.sum(1, keepdims=True)
+                q = np.bincount(key, p[row, area], chunk.num_rows * k).reshape(-1, k)
+                total = np.bincount(doc, (p >= SURE).any(1), chunk.num_rows)[:, None] if len(doc) else np.zeros((chunk.num_rows, 1))
                 d, a = np.nonzero((n > 0) & (n * part >= total))
                 yield pa.RecordBatch.from_arrays(
                     [chunk.column(0).take(pa.array(d)), pa.array(names[a].tolist(), pa.string()), pa.array(n[d, a].astype(np.int32)), pa.array(n[d, a] / total[d, 0]), pa.array(q[d, a] / n[d, a])],
@@ -358,3 +378,10 @@ def corpus_by_area(documents: DataFrame, labels: DataFrame, subject_areas: DataF
     """(area, documents, sentences): the corpus measured by subject; every area has a row."""
     d = document_areas(documents, labels, subject_areas).groupBy("area").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
     return subject_areas.select("area").where("area is not null").distinct().join(d, "area", "left").na.fill(0)
+
+
+def calibration(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame) -> DataFrame:
+    """(area, slope, offset, error): the calibration of each area, and the expected calibration error over all of them."""
+    spark = documents.sparkSession
+    c = train(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, subject_areas)
+    return spark.createDataFrame([(a, float(x), float(y), c.error) for a, (x, y) in zip(c.areas, c.curve, strict=True)], "area string, slope double, offset double, error double")

@@ -60,3 +60,9 @@ def test_features_of_sentences():
     assert doc.tolist() == [0, 1] and np.diff(np.r_[start, len(f)]).tolist() == [3, 5]  # a capitalised word inside a sentence is left out
     a, b = s.features(pa.array(["the same words."])), s.features(pa.array(["x y.", "THE same Words!"]).slice(1))
     assert a[0].tolist()[:3] == b[0].tolist()
+
+
+def test_calibration_on_held_out_labels(spark):
+    docs, labels, _ = corpus(random.Random(2))
+    got = s.calibration(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), spark.createDataFrame([(a, a) for a in WORDS], AREAS)).collect()
+    assert len(got) == 3 and all(r.slope > 0 for r in got) and got[0].error < 0.1
