@@ -134,12 +134,16 @@ def fact_score(verdict: Column, match_type: Column, nli: Column, risk_level: Col
     return {"fact_score": F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4), "reliability": rel}
 
 
-def combined_risk(verdict: Column, fact: Column, reliability: Column, style: Column) -> dict[str, Column]:
-    """The one-axis risk: 0.6 fact and 0.4 style, style capped where a reliable fact holds."""
+def combined_risk(verdict: Column, fact: Column, reliability: Column, style: Column, probability: Column | None = None, weight: float = 0.0) -> dict[str, Column]:
+    """The one-axis risk: 0.6 fact and 0.4 style, style capped where a reliable fact holds.
+
+    A model's probability, off by default, takes `weight` of the whole; a missing one counts as 0 (D17).
+    """
     v = F.upper(F.coalesce(verdict, F.lit("UNVERIFIED")))
     capped = (F.when((v == "TRUE") & (reliability >= 0.80), F.least(style, F.lit(0.30)))
               .when(v.isin("PARTIALLY TRUE", "MIXED") & (reliability >= 0.75), F.least(style, F.lit(0.45))).otherwise(style))
-    raw = F.least(0.6 * fact + 0.4 * capped, F.lit(1.0))
+    raw = 0.6 * fact + 0.4 * capped
+    raw = F.least(raw if probability is None else (1.0 - weight) * raw + weight * F.coalesce(probability, F.lit(0.0)), F.lit(1.0))
     return {"risk": raw, "risk_label": F.when(F.round(raw, 2) >= 0.65, "high").when(F.round(raw, 2) >= 0.40, "moderate").otherwise("safe")}
 
 

@@ -235,3 +235,35 @@ def triple(c: Column) -> Column:
     obj = F.array_join(F.slice(w, F.greatest(at.cast("int") + 1, F.lit(1)), F.size(w)), " ")
     ok = (at > 0) & (subject != "") & (obj != "") & (subject != obj) & ~obj.isin(*lx.TRIVIAL_OBJECTS)
     return F.when(ok, F.struct(subject.alias("subject"), F.try_element_at(w, at.cast("int")).alias("relation"), obj.alias("object")))
+
+
+def casefold(c: Column) -> Column:
+    """The text without case: as lower case, with letters such as ß and final sigma in their common form."""
+    return F.replace(F.lower(F.upper(F.replace(c, F.lit("ß"), F.lit("ss")))), F.lit("ς"), F.lit("σ"))
+
+
+def cache_key(c: Column) -> Column:
+    """A model's name as a key of its caches (X11)."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def token_pattern(label: Column, phrase: Column) -> Column:
+    """An entity phrase as a JSON pattern of its lower-case words."""
+    w = F.filter(F.split(squeeze(phrase), " "), lambda x: x != "")
+    return F.to_json(F.struct(label.alias("label"), F.transform(w, lambda x: F.struct(F.lower(x).alias("LOWER"))).alias("pattern")))
+
+
+def fact_labels(c: Column) -> Column:
+    """struct(verdict, risk) of a labeller's lines (D20): the last line that names each holds; UNVERIFIED and Medium by default."""
+    lines = F.split(F.lower(F.coalesce(c, F.lit(""))), "\n")
+
+    def last(word: str, table: list[tuple[str, str]], otherwise: str) -> Column:
+        def value(x: Column) -> Column:
+            out = None
+            for k, v in table:
+                out = F.when(F.contains(x, F.lit(k)), v) if out is None else out.when(F.contains(x, F.lit(k)), v)
+            return F.when(F.contains(x, F.lit(word)), out)
+
+        return F.coalesce(F.try_element_at(F.array_compact(F.transform(lines, value)), F.lit(-1)), F.lit(otherwise))
+
+    return F.struct(last("verdict", [("true", "TRUE"), ("false", "FALSE"), ("mixed", "MIXED")], "UNVERIFIED").alias("verdict"), last("risk", [("low", "Low"), ("medium", "Medium"), ("high", "High")], "Medium").alias("risk"))

@@ -80,3 +80,17 @@ def binary(reports: DataFrame, limit: float = 0.5) -> DataFrame:
     d = F.when(F.col("verdict").isin(*lx.FAKE_VERDICTS), 1).when(F.col("verdict").isin(*lx.REAL_VERDICTS), 0)
     got = reports.withColumn("d", d).groupBy("qid").agg(F.min_by("d", F.when(F.col("d").isNotNull(), F.col("idx"))).alias("d"), F.max("risk").alias("r"))
     return got.select("qid", F.coalesce("d", F.when(F.coalesce("r", F.lit(0.0)) > limit, 1).otherwise(0)).alias("prediction"))
+
+
+def fast_summary(facts: DataFrame) -> DataFrame:
+    """(qid, support_count, contradiction_count, mean_quality, agreement, best_tier, tiers, probability) of claims that a fact decides.
+
+    `facts` has (qid, claim, truth, nli_confidence). The fact's truth stands for the evidence, the claim where it is
+    blank; a missing confidence is 0.5.
+    """
+    from ..functions import scoring as sc
+
+    empty = F.lit(None).cast("string")
+    truth = F.coalesce(F.when(F.trim("truth") != "", F.col("truth")), F.col("claim"))
+    return facts.select("qid", F.lit(1).alias("support_count"), F.lit(0).alias("contradiction_count"), sc.passage_quality(truth, empty, empty, empty).alias("mean_quality"), F.lit(1.0).alias("agreement"),
+                        F.lit("guideline").alias("best_tier"), F.lit("guideline").alias("tiers"), F.coalesce("nli_confidence", F.lit(0.5)).alias("probability"))

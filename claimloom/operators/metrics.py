@@ -116,3 +116,31 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     n = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     t = n.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
     return n.crossJoin(F.broadcast(t)).select("label", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))  # one row broadcast
+
+
+def lane_report(queries: DataFrame, hits: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(lane, recall_at_..., mrr, ndcg_at_10, queries): `ranking` of each lane's hits (qid, lane, pid, rank) over all queries with gold."""
+    g = gold.select("qid", "pid").distinct().join(queries.select("qid").distinct(), "qid", "left_semi")
+    size = g.groupBy("qid").agg(F.count(F.lit(1)).alias("golds"))
+    n = size.agg(F.count(F.lit(1)).alias("queries"))
+    per = hits.join(g, ["qid", "pid"], "left_semi").groupBy("lane", "qid").agg(
+        *[F.count_if(F.col("rank") <= c).alias(f"h{c}") for c in cuts], F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= 10, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("golds").cast("int"), F.lit(10))), F.lit(0.0), lambda a, x: a + 1.0 / F.log2(x + 1.0))
+    got = per.join(size, "qid").withColumn("ideal", ideal).groupBy("lane").agg(
+        *[F.sum(F.col(f"h{c}") / F.col("golds")).alias(f"recall_at_{c}") for c in cuts], F.sum(1.0 / F.col("first")).alias("mrr"), F.sum(F.col("dcg") / F.col("ideal")).alias("ndcg_at_10"))
+    got = hits.select("lane").distinct().join(got, "lane", "left").na.fill(0.0).crossJoin(F.broadcast(n))  # one row broadcast
+    return got.select("lane", *[_div(F.col(c), F.col("queries")).alias(c) for c in (*[f"recall_at_{c}" for c in cuts], "mrr", "ndcg_at_10")], "queries")
+
+
+def lift(before: DataFrame, after: DataFrame, value: str = "ndcg_at_10") -> DataFrame:
+    """One row: a metric before and after, and the gain in percent; 0 where there was nothing before."""
+    got = before.select(F.col(value).alias("before")).crossJoin(F.broadcast(after.select(F.col(value).alias("after"))))  # one row each
+    return got.withColumn("lift_percent", F.coalesce(F.try_divide(100.0 * (F.col("after") - F.col("before")), "before"), F.lit(0.0)))
+
+
+def modes(reports: DataFrame) -> DataFrame:
+    """(mode, n, percent, accuracy, latency) of reports (mode, y, p, latency); all three modes have a row."""
+    got = reports.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.avg("latency").alias("latency"))
+    names = reports.sparkSession.createDataFrame([("fast",), ("standard",), ("deep",)], "mode string")
+    total = got.agg(F.sum("n").alias("t"))
+    return names.join(got, "mode", "left").na.fill(0).crossJoin(F.broadcast(total)).select("mode", "n", _div(F.col("n") * 100.0, F.col("t")).alias("percent"), "accuracy", "latency")  # one row broadcast

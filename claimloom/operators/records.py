@@ -26,24 +26,28 @@ def first_of(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return got.select("__r.*")
 
 
-def stride(df: DataFrame, label: str, order: str, per_class: int) -> DataFrame:
-    """At most `per_class` rows of each class, every step-th in order, step = max(1, n of class / per_class).
+def ranked(df: DataFrame, label: str, order: str, *ties: str) -> DataFrame:
+    """`df` with __p, the place of each row in its class by `order` (a number), from 0, and __n, the size of the class.
 
-    A class of any size is never sorted in one task: rows are counted per range of `order` (a number, spread about
-    evenly; some million rows a range), the counts are summed up, and only a range is sorted at a time.
+    A class of any size is never sorted in one task: rows are counted per range of `order` (spread about evenly; some
+    million rows a range), the counts are summed up, and only a range is sorted at a time.
     """
-    df = df.where(F.col(label).isNotNull())
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
     ranges = F.greatest(F.lit(64), F.ceil(F.col("__n") / 1_000_000))
     b = F.floor((F.col(order) - F.col("__lo")) * ranges / (F.col("__hi") - F.col("__lo") + 1)).cast("long")
-    part = df.join(F.broadcast(n), label).withColumn("__b", b)  # one row per class
+    part = df.join(n, label).withColumn("__b", b)  # labels may be many: Spark broadcasts the sizes only if they are small
     before = part.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = before.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     got = part.join(before.select(label, "__b", "__before"), [label, "__b"])
-    pos = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__b").orderBy(order)) - 1
+    pos = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__b").orderBy(order, *ties)) - 1
+    return got.withColumn("__p", pos).select(*df.columns, "__p", "__n")
+
+
+def stride(df: DataFrame, label: str, order: str, per_class: int) -> DataFrame:
+    """At most `per_class` rows of each class, every step-th in order, step = max(1, n of class / per_class)."""
     step = F.greatest(F.floor(F.col("__n") / per_class), F.lit(1))
-    got = got.withColumn("__p", pos).where((F.col("__p") % step == 0) & (F.col("__p") / step < per_class))
-    return got.select(*df.columns)
+    got = ranked(df.where(F.col(label).isNotNull()), label, order)
+    return got.where((F.col("__p") % step == 0) & (F.col("__p") / step < per_class)).select(*df.columns)
 
 
 def latest(events: DataFrame, key: str, time: str, tie: str, *columns: str) -> DataFrame:
@@ -98,10 +102,19 @@ def sweep(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in an order fixed by key and seed, whatever the partitions (O1)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+
+
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """`df` with `part`, train or test: of every class the first floor(n x share) rows in an order fixed by key and seed (M1).
+
+    Rows without a label are left out; repeated keys stand beside each other.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    got = ranked(df.where(F.col(label).isNotNull()).withColumn("__h", h), label, "__h", key)
+    return got.select(*df.columns, F.when(F.col("__p") < F.floor(F.col("__n") * share), "train").otherwise("test").alias("part"))
 
 
-def split_by_hash(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: stable, without a shuffle, of about `share` within every class (M1)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < int(share * 10_000)
-    return df.where(h), df.where(~h)
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order: the sample size that a caller asks for."""
+    return df.orderBy(*order).limit(n)

@@ -170,6 +170,10 @@ def _near(block, k: int, metric: str):
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(key), -1)[order]
                 if metric == "cosine":
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                if metric == "damped":
+                    exact = np.round(a @ v.T / (np.sqrt(length)[:, None] * np.sqrt((v * v).sum(1)) + 1e-9), 9)
+                    best.take(0, exact, ~key)
+                    continue
                 norm = (v * v).sum(1)
                 for q0 in range(0, n, _Q):
                     x = a[q0:q0 + _Q]
@@ -191,7 +195,8 @@ def _near(block, k: int, metric: str):
 def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, id, score, rank): the k nearest rows of base (id, vec) to each query (qid, vec); J1 to J4.
 
-    'l2' is the squared distance, smallest first; 'cosine' the similarity, largest first, a zero vector counting as far.
+    'l2' is the squared distance, smallest first; 'cosine' the similarity, largest first, a zero vector counting as far;
+    'damped' the similarity with 1e-9 added to the product of the lengths.
     Both are rounded to nine digits; ties go to the smaller id. Null vectors take no part; all vectors have one length.
     """
     base = base.where("vec is not null and id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
@@ -207,7 +212,7 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2")
 
     out = _blocks(queries, 8 * dim + 16 * k, search, "qid long, id long, score double")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    return out.select("qid", "id", (F.col("score") if metric == "cosine" else F.lit(0.0) - F.col("score")).alias("score"), "rank")
+    return out.select("qid", "id", (F.lit(0.0) + F.col("score") if metric != "l2" else F.lit(0.0) - F.col("score")).alias("score"), "rank")
 
 
 def lanes(claims: DataFrame) -> DataFrame:

@@ -49,9 +49,9 @@ class Tree:
             todo += [c for c in self.kids[k] if c not in without]
         return " ".join(self.t[k]["text"] for k in sorted(got) if self.t[k]["pos"] != "PUNCT")
 
-    def phrase(self, i: int) -> str:
-        """A noun with its modifiers, conjuncts left to themselves."""
-        return self.span(i, set(self.of(i, {"conj", "cc", "relcl", "prep"})))
+    def phrase(self, i: int, without: set[int] = frozenset()) -> str:
+        """A noun with its modifiers, conjuncts left to themselves, and what hangs on `without`."""
+        return self.span(i, set(self.of(i, {"conj", "cc", "relcl", "prep"})) | without)
 
     def relation(self, i: int) -> str:
         """A verb with its negation before it and its particle after it."""
@@ -118,7 +118,7 @@ def _inverted(t: Tree):
         for a in t.of(v, _SUBJECT):
             if _is_action(t.t[a]) and t.t[a]["pos"] in ("NOUN", "PROPN"):
                 before = " ".join(t.t[k]["text"] for k in sorted(t.of(a, {"compound", "amod"})))
-                yield before, t.t[a]["text"], t.t[a]["lemma"], t.phrase(v)
+                yield before, t.t[a]["text"], t.t[a]["lemma"], t.phrase(v, {a})
 
 
 def _pairs(t: Tree):

@@ -111,14 +111,12 @@ ORACLE["verdict_coverage"] = "SELECT verdict, risk_level, count(*) AS facts, rou
 
 def _modes(s, d):
     m = F.element_at(F.array(F.lit("fast"), F.lit("standard")), (F.col("qid") % 2).cast("int") + 1)
-    got = scored(s, d).groupBy(m.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
-    total = got.agg(F.sum("n").alias("t"))
-    names = s.createDataFrame([("fast",), ("standard",), ("deep",)], "mode string")
-    return names.join(got, "mode", "left").na.fill(0).crossJoin(F.broadcast(total)).select("mode", "n", F.round(F.col("n") * 100.0 / F.col("t"), 6).alias("percent"), F.round("accuracy", 6).alias("accuracy"))  # one row broadcast
+    got = metrics.modes(scored(s, d).select(m.alias("mode"), "y", "p", ((F.col("qid") % 7) / 10.0).alias("latency")))
+    return got.select("mode", "n", *[F.round(c, 6).alias(c) for c in ("percent", "accuracy", "latency")])
 
 
 QUERIES["mode_summary"] = _modes
-ORACLE["mode_summary"] = _SC + ", g AS (SELECT ['fast', 'standard'][(qid % 2)::INT + 1] AS mode, count(*) AS n, avg((y = p)::INT) AS accuracy FROM sc GROUP BY 1) SELECT t.mode, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM g), 6) AS percent, round(coalesce(accuracy, 0), 6) AS accuracy FROM (VALUES ('fast'), ('standard'), ('deep')) t(mode) LEFT JOIN g USING (mode)"
+ORACLE["mode_summary"] = _SC + ", g AS (SELECT ['fast', 'standard'][(qid % 2)::INT + 1] AS mode, count(*) AS n, avg((y = p)::INT) AS accuracy, avg((qid % 7) / 10.0::DOUBLE) AS latency FROM sc GROUP BY 1) SELECT t.mode, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM g), 6) AS percent, round(coalesce(accuracy, 0), 6) AS accuracy, round(coalesce(latency, 0), 6) AS latency FROM (VALUES ('fast'), ('standard'), ('deep')) t(mode) LEFT JOIN g USING (mode)"
 
 
 def _failures(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.text import words
 from ..operators import metrics, pipeline, retrieval
 from ..sources.tables import table
 from . import sql as S
@@ -125,19 +126,26 @@ QUERIES["calibrated_verdict"] = lambda s, d: _verdicts(s, d).select("qid", F.rou
 ORACLE["calibrated_verdict"] = f"{CHAIN} SELECT qid, round(confidence + 1e-7, 3) AS confidence, verdict FROM vd"
 
 
+def gold(s, d):
+    """(qid, pid): facts that share two words of eight letters or more with a claim."""
+    long = lambda df, k: df.select(k, F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 8))).alias("w"))
+    return long(queries(s, d), "qid").join(long(facts(s, d), "pid"), "w").groupBy("qid", "pid").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("qid", "pid")
+
+
+GOLD = (f"gw AS (SELECT DISTINCT qid, w FROM (SELECT qid, unnest({S.words('text')}) AS w FROM q) WHERE len(w) >= 8), gf AS (SELECT DISTINCT pid, w FROM (SELECT pid, unnest({S.words('text')}) AS w FROM p) WHERE len(w) >= 8), "
+        "gold AS (SELECT qid, pid FROM gw JOIN gf USING (w) GROUP BY 1, 2 HAVING count(*) >= 2), gn AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid)")
+
+
 def _metrics(s, d):
-    """Gold: facts with the number of the claim."""
-    num = lambda c: F.regexp_extract(c, r"(\d{8})", 1)
     q, f = queries(s, d), facts(s, d)
-    gold = q.select("qid", num(F.col("text")).alias("n")).where("n != ''").join(f.select("pid", num(F.col("text")).alias("n")), "n").select("qid", "pid")
-    m = metrics.ranking(q, retrieval.bm25(q, f, 20), gold)
+    m = metrics.ranking(q, retrieval.bm25(q, f, 20), gold(s, d))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns if c != "queries"], "queries")
 
 
 QUERIES["retrieval_metrics"] = _metrics
-ORACLE["retrieval_metrics"] = (f"{BASE}, {bm25_sql('b', 'q', 20)}, gold AS (SELECT DISTINCT q.qid, p.pid FROM q JOIN p ON regexp_extract(q.text, '([0-9]{{8}})', 1) = regexp_extract(p.text, '([0-9]{{8}})', 1) WHERE regexp_extract(q.text, '([0-9]{{8}})', 1) <> ''), "
-                               "g AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid), h AS (SELECT qid, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 10) AS h10, count(*) AS h20, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM b JOIN gold USING (qid, pid) GROUP BY qid), "
-                               "r AS (SELECT n, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(h20, 0) AS h20, first, coalesce(dcg, 0) AS dcg, list_sum(list_transform(range(1, least(n, 10) + 1), x -> 1 / log2(x + 1))) AS ideal FROM g LEFT JOIN h USING (qid)) "
+ORACLE["retrieval_metrics"] = (f"{BASE}, {bm25_sql('b', 'q', 20)}, {GOLD}, "
+                               "h AS (SELECT qid, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 10) AS h10, count(*) AS h20, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM b JOIN gold USING (qid, pid) GROUP BY qid), "
+                               "r AS (SELECT n, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(h20, 0) AS h20, first, coalesce(dcg, 0) AS dcg, list_sum(list_transform(range(1, least(n, 10) + 1), x -> 1 / log2(x + 1))) AS ideal FROM gn LEFT JOIN h USING (qid)) "
                                "SELECT round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(h20 / n), 6) AS recall_at_20, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg_at_10, count(*) AS queries FROM r")
 
 

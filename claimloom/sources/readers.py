@@ -150,3 +150,26 @@ def pages(df: DataFrame, least_words: int = 150) -> DataFrame:
     x = df.where(tx.slug(F.col("url")) != "").select("url", tx.slug(F.col("url")).alias("slug"), F.pandas_udf(run, schema)("html").alias("p")).select("url", "slug", "p.*")
     named = F.coalesce("title", F.initcap(F.regexp_replace("slug", "[-_]+", " ")))
     return x.where(F.size(F.split(F.trim("body"), r"\s+")) >= least_words).select("url", "slug", named.alias("title"), tx.article_text(F.col("body")).alias("body"))
+
+
+def sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(passage_index, passage, source_file): the two text files of an index, joined by the number of the line.
+
+    A passage beyond the last source has none.
+    """
+    def lines(name: str, column: str) -> DataFrame:
+        x = spark.read.text(f"{path}/{name}", wholetext=True).where("value != ''")
+        return x.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("passage_index", column))
+
+    return lines("passages", "passage").join(lines("passage_sources", "source_file"), "passage_index", "left")
+
+
+#: Last parts of addresses that name no article (F16).
+NOT_SLUGS = ("#", "health", "")
+
+
+def addresses(spark: SparkSession, urls: list[str] | DataFrame) -> DataFrame:
+    """(url): addresses of articles from a list or a table (url); those whose last part names none are left out."""
+    df = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
+    last = F.element_at(F.split(F.rtrim(F.col("url"), F.lit("/")), "/"), -1)
+    return df.where(F.col("url").isNotNull() & ~last.isin(*NOT_SLUGS))

@@ -50,3 +50,42 @@ def markdown(report: DataFrame, title: str) -> str:
     head = report.columns
     rows = ("| " + " | ".join(str(x) for x in r) + " |" for r in report.toLocalIterator())
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *rows, ""])
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """One file with one array of objects, a line each, nulls kept (K7); rows stream through the driver a partition at a time, for reports."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = spark._jvm.java.io.OutputStreamWriter(p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True), "UTF-8")
+    try:
+        text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        before = "[\n"
+        for r in df.select(text.alias("t")).toLocalIterator():
+            out.write(before + r.t)
+            before = ",\n"
+        out.write("\n]\n" if before != "[\n" else "[]\n")
+    finally:
+        out.close()
+
+
+def log(df: DataFrame, path: str, append: bool = True) -> None:
+    """Lines (line) of a log, added to what is there or in its place (K1)."""
+    df.select("line").write.mode("append" if append else "overwrite").text(path)
+
+
+def sidecars(df: DataFrame, path: str) -> None:
+    """Passages and their sources (id, passage, source_file) as two text files with a line each, in order of id.
+
+    The old form of an index, one sorted file; `vectors` is the table that scales.
+    """
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\r\\n]+", " ")
+    rows = df.orderBy("id").select(flat("passage").alias("p"), flat("source_file").alias("s")).coalesce(1)
+    rows.select("p").write.mode("overwrite").text(f"{path}/passages")
+    rows.select("s").write.mode("overwrite").text(f"{path}/passage_sources")
+
+
+def cache_valid(state: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: whether a kept state (entries, changed) is that of the source now (F23, K5); a missing one is not."""
+    now = state.select(F.col("entries").alias("e"), F.col("changed").alias("c"))
+    same = F.col("e").eqNullSafe(F.col("entries")) & F.col("c").eqNullSafe(F.col("changed"))
+    return now.crossJoin(kept.select("entries", "changed")).agg(F.coalesce(F.bool_or(same), F.lit(False)).alias("valid"))  # one row each
