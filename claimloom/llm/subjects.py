@@ -267,7 +267,9 @@ def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
                     _count(f, start, doc, _posterior(_scores(w, f, start), doc, part.num_rows), total)
         yield _emit(total)
 
-    return _sums(documents.select("text"), run, areas, DIM)
+    out = _sums(documents.select("text"), run, areas, DIM)
+    held.destroy()  # the weights of this round are needed no more
+    return out
 
 
 def calibrate(documents: DataFrame, labels: DataFrame, areas: list[str], w: np.ndarray, most: int = TRAIN_LABELS) -> tuple[np.ndarray, float]:
@@ -296,6 +298,7 @@ def calibrate(documents: DataFrame, labels: DataFrame, areas: list[str], w: np.n
         yield _emit(total)
 
     got = _sums(_labelled(documents, labels, areas, True, most), run, k, 2 * _BINS).astype(np.float64)
+    held.destroy()
     n, y = got[:_BINS], got[_BINS:]
     x = (_LOW + (np.arange(_BINS) + 0.5) * (_HIGH - _LOW) / _BINS)[:, None] / 10
     # floor and ceiling as log odds, then common slope and offset, then what each area adds to them
