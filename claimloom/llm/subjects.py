@@ -164,7 +164,11 @@ def weights(counts: np.ndarray) -> np.ndarray:
 
 
 def _scores(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(w[f], start, axis=0)
+    out, ends = np.empty((len(start), w.shape[1]), np.float32), np.r_[start, len(f)]
+    for k in range(0, len(start), 512):  # few enough sentences for the processor's caches
+        j = min(k + 512, len(start))
+        out[k:j] = np.add.reduceat(w[f[ends[k]:ends[j]]], start[k:j] - ends[k], axis=0)
+    return out
 
 
 def _posterior(s: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -219,10 +223,10 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _count(f: np.ndarray, start: np.ndarray, doc: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
-    n = np.diff(np.r_[start, len(f)])
-    p = p * np.minimum(1.0, FULL / np.bincount(doc)[doc])[:, None]
-    for a in range(p.shape[1]):
-        total[:, a] += np.bincount(f, np.repeat(p[:, a], n), DIM)
+    sentence = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(f)]))
+    p = np.ascontiguousarray((p * np.minimum(1.0, FULL / np.bincount(doc)[doc])[:, None]).T)
+    for a in range(len(p)):
+        total[:, a] += np.bincount(f, p[a][sentence], DIM)
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, areas: list[str], held: bool, most: int) -> DataFrame:
@@ -241,7 +245,7 @@ def first_counts(documents: DataFrame, labels: DataFrame, areas: list[str], most
     """Feature counts by area from labelled documents; a document's labels share it in proportion to their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((DIM, len(areas)))
+        total = np.zeros((DIM, len(areas)), order="F")
         for b in batches:
             share = np.stack([b.column(k + 1).to_numpy() for k in range(len(areas))], 1)
             share = share / np.maximum(share.sum(1, keepdims=True), 1e-9)
@@ -258,7 +262,7 @@ def refine(documents: DataFrame, w: np.ndarray) -> np.ndarray:
     areas, held = w.shape[1], documents.sparkSession.sparkContext.broadcast(w)  # DIM x areas numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = held.value, np.zeros((DIM, areas))
+        w, total = held.value, np.zeros((DIM, areas), order="F")
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
