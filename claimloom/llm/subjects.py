@@ -163,11 +163,15 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return other
 
 
-def _scores(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _scores(w: np.ndarray, f: np.ndarray, start: np.ndarray, speaking: np.ndarray | None = None) -> np.ndarray:
+    """The score of each area for each sentence; `speaking`, if given, is filled with how many features speak for it."""
     out, ends = np.empty((len(start), w.shape[1]), np.float32), np.r_[start, len(f)]
     for k in range(0, len(start), 512):  # few enough sentences for the processor's caches
         j = min(k + 512, len(start))
-        out[k:j] = np.add.reduceat(w[f[ends[k]:ends[j]]], start[k:j] - ends[k], axis=0)
+        x, at = w[f[ends[k]:ends[j]]], start[k:j] - ends[k]
+        out[k:j] = np.add.reduceat(x, at, axis=0)
+        if speaking is not None:
+            speaking[k:j] = np.add.reduceat((x > 1.0).view(np.int8), at, axis=0, dtype=np.int32)
     return out
 
 
@@ -332,9 +336,9 @@ class Classifier:
         f, start, doc = features(texts)
         if not len(f):
             return doc, np.empty((0, len(self.areas)))
-        s = _scores(self.w, f, start)
+        speaking = np.empty((len(start), len(self.areas)), np.int32)
+        s = _scores(self.w, f, start, speaking)
         p = 1 / (1 + np.exp(-np.clip(s * self.curve[:, 0] + self.curve[:, 1], -30, 30)))
-        speaking = np.add.reduceat((self.w[f] > 1.0).astype(np.float32), start, axis=0)
         return doc, np.where(speaking >= SPEAKING * np.diff(np.r_[start, len(f)])[:, None], p, 0.0)
 
 
