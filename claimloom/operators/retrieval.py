@@ -180,7 +180,10 @@ def _near(block, k: int, metric: str):
                     dot = x @ v.T
                     score = dot if metric == "cosine" else 2 * dot - length[q0:q0 + _Q, None] - norm
                     room = 1e-9 * (1 + length[q0:q0 + _Q, None] + norm)
-                    i, j = np.nonzero(score >= best.score[q0:q0 + len(x), -1, None] - room)
+                    least = best.score[q0:q0 + len(x), -1, None]
+                    if len(key) > k:  # what these rows alone leave out
+                        least = np.maximum(least, np.partition(score, len(key) - k, axis=1)[:, len(key) - k, None] - room)
+                    i, j = np.nonzero(score >= least - room)
                     exact = np.full(score.shape, -np.inf)
                     for c in range(0, len(i), 1 << 16):
                         ii, jj = i[c:c + (1 << 16)], j[c:c + (1 << 16)]
