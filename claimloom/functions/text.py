@@ -163,13 +163,13 @@ def token_tag(t: Column) -> Column:
 def protected_entities(c: Column) -> Column:
     """Capitalised words and dosages, sorted and distinct."""
     caps = F.regexp_extract_all(c, F.lit(rf"(?<!{W})[A-Z][a-z]+(?!{W})"), F.lit(0))
-    dose = F.regexp_extract_all(c, F.lit(r"(?i)\d+\s*(?:mg|ml|gm|iu|mcg|%)"), F.lit(0))
+    dose = F.regexp_extract_all(c, F.lit(lx.DOSAGE), F.lit(0))
     return F.array_sort(F.array_distinct(F.concat(caps, dose)))
 
 
 def structural_values(c: Column) -> Column:
     """Numbers with their unit and addresses, lower case, sorted and distinct."""
-    num = F.transform(F.regexp_extract_all(c, F.lit(r"\b\d+(?:[.,]\d+)?\s*(?:[a-zA-Z%]+)?\b"), F.lit(0)), lambda x: F.trim(F.lower(x)))
+    num = F.transform(F.regexp_extract_all(c, F.lit(lx.QUANTITY), F.lit(0)), lambda x: F.trim(F.lower(x)))
     url = F.transform(F.regexp_extract_all(c, F.lit(r"(?i)https?://\S+|www\.\S+"), F.lit(0)), lambda x: F.lower(x))
     return F.array_sort(F.array_distinct(F.concat(num, url)))
 
@@ -194,12 +194,12 @@ def nli_label(v: Column) -> Column:
 
 def parse_answer(c: Column) -> Column:
     """struct(verdict, confidence, reason) of a model's free-text answer, with keyword fallback."""
-    said = F.upper(F.regexp_extract(c, r"(?i)verdict\s*[:\-]\s*(TRUE|FALSE|UNVERIFIED)", 1))
+    said = F.upper(F.regexp_extract(c, lx.ANSWER_VERDICT, 1))
     low = F.lower(c)
-    guess = F.when(low.rlike("false|incorrect|not true"), "FALSE").when(low.rlike("true|correct|accurate"), "TRUE").otherwise("UNVERIFIED")
-    number = F.regexp_extract(c, r"(?i)confidence\s*[:\-]\s*(0?\.\d+|1\.0|0|1)", 1)
+    guess = F.when(low.rlike(lx.ANSWER_FALSE), "FALSE").when(low.rlike(lx.ANSWER_TRUE), "TRUE").otherwise("UNVERIFIED")
+    number = F.regexp_extract(c, lx.ANSWER_CONFIDENCE, 1)
     sure = F.when(number != "", F.least(F.greatest(number.try_cast("double"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
-    why = F.trim(F.split(F.trim(F.regexp_extract(c, r"(?is)reason\s*[:\-]\s*(.+)", 1)), "\n")[0])
+    why = F.trim(F.split(F.trim(F.regexp_extract(c, lx.ANSWER_REASON, 1)), "\n")[0])
     return F.struct(F.when(said != "", said).otherwise(guess).alias("verdict"), sure.alias("confidence"), F.when(why != "", why).otherwise(F.trim(c)).alias("reason"))
 
 

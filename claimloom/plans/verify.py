@@ -60,9 +60,9 @@ def _plain_report(s, d):
     v = F.element_at(F.array(*[F.lit(x) for x in ("SUPPORTS", "REFUTES", "NEI")]), (F.col("fact_id") % 3).cast("int") + 1)
     f = table(s, d, "verified_facts").select("fact_id", v.alias("v"), ((F.col("fact_id") % 21) / 20.0).alias("style"), F.coalesce("scientific_truth", F.lit("")).alias("evidence"))
     base = F.when(F.col("v") == "SUPPORTS", 0.1).when(F.col("v") == "REFUTES", 0.9).otherwise(0.5)
-    label = F.when(F.col("v") == "SUPPORTS", "SAFE").when(F.col("v") == "REFUTES", "HIGH RISK / MISINFORMATION").otherwise("UNCERTAIN / UNVERIFIED")
-    why = F.when(F.col("v") == "REFUTES", F.concat(F.lit("This claim seems incorrect. Reliable sources state: '"), "evidence", F.lit("'"))).when(
-        F.col("v") == "SUPPORTS", F.concat(F.lit("This is likely true. According to health guidelines: '"), "evidence", F.lit("'"))).otherwise("We couldn't find enough scientific evidence to confirm or deny this claim.")
+    label = F.when(F.col("v") == "SUPPORTS", lx.PLAIN_SAFE).when(F.col("v") == "REFUTES", lx.PLAIN_RISK).otherwise(lx.PLAIN_OPEN)
+    why = F.when(F.col("v") == "REFUTES", F.concat(F.lit(lx.PLAIN_REFUTED), "evidence", F.lit("'"))).when(
+        F.col("v") == "SUPPORTS", F.concat(F.lit(lx.PLAIN_SUPPORTED), "evidence", F.lit("'"))).otherwise(lx.PLAIN_UNKNOWN)
     return f.select("fact_id", label.alias("verdict"), F.round(base * 0.7 + F.col("style") * 0.3 + 1e-7, 3).alias("risk"), why.alias("explanation"))
 
 

@@ -19,6 +19,8 @@ FACTS = "claim_subject string, verdict string, scientific_truth string, risk_lev
 UNREVIEWED = "claim string, explanation string"
 GOLDEN = "id string, original_text string, expected_class string, language string, source string, source_label int, review_status string, reviewer string, evidence_urls array<string>, notes string"
 REQUEST = "text string, input_type string, language string, mode string"
+#: Rows of a lexicon file at most; a larger one is refused, not cut.
+LEXICON_ROWS = 100_000
 #: Files beside the articles that hold no article.
 NOT_ARTICLES = r"^(passages|passage_sources|processed_files)"
 
@@ -57,11 +59,14 @@ def named_labels(spark: SparkSession, path: str) -> DataFrame:
 def lexicon(spark: SparkSession, path: str | None = None) -> list[tuple[str, str]]:
     """Phrases of a lexicon file over the built-in ones, longest first; the last row of a phrase holds.
 
-    A lexicon is a small file made by hand; it is read to the driver.
+    A lexicon is a small file made by hand; it is read to the driver, up to LEXICON_ROWS.
     """
     got = dict(lx.PHRASES_BUILT_IN)
     if path:
-        for r in csv(spark, path, "hinglish string, english string, category string").collect():
+        rows = csv(spark, path, "hinglish string, english string, category string").limit(LEXICON_ROWS + 1).collect()
+        if len(rows) > LEXICON_ROWS:
+            raise ValueError(f"a lexicon has at most {LEXICON_ROWS} rows")
+        for r in rows:
             a, b = (r.hinglish or "").strip().lower(), (r.english or "").strip().lower()
             if a and b:
                 got[a] = b
