@@ -81,7 +81,17 @@ r AS (SELECT 'claim_records' AS tbl, id, {" || chr(1) || ".join(_bare(f) for f i
 _RUNS = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), er AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
 found AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r))"""
+_W = "'[\\p{L}\\p{N}]+'"
+#: Windows of twelve words of documents with their places, runs of item parts, and islands of windows that overlap or touch.
+_SPANS = f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS ts FROM documents WHERE text IS NOT NULL AND text <> ''), u AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(1, len(ts) + 1)) AS i FROM t),
+o AS (SELECT doc_id, i, lower(tok) AS w, (sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok))::INT AS a, (sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS b, regexp_full_match(tok, {_W}) AS is_word FROM u),
+n AS (SELECT doc_id, row_number() OVER d AS k, a, lead(b, 11) OVER d AS z, array_to_string(list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), ' ') AS r FROM o WHERE is_word WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT item_id, 'text' AS part, regexp_extract_all(lower(text), {_W}) AS w FROM eval_items UNION ALL SELECT item_id, 'answer', regexp_extract_all(lower(answer), {_W}) FROM eval_items WHERE answer IS NOT NULL),
+e AS (SELECT DISTINCT item_id, part, array_to_string(w[i:i+11], ' ') AS r FROM (SELECT item_id, part, w, unnest(range(1, len(w) - 10)) AS i FROM p)),
+h AS (SELECT doc_id, item_id, part, k, a, z, CASE WHEN k - lag(k) OVER x <= 12 THEN 0 ELSE 1 END AS fresh FROM n JOIN e USING (r) WHERE z IS NOT NULL WINDOW x AS (PARTITION BY doc_id, item_id, part ORDER BY k)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id, part ORDER BY k) AS island FROM h)"""
 ORACLE: dict[str, str] = {
+    "p7_spans": f'{_SPANS} SELECT doc_id, item_id, part, min(a) AS start, max(z) AS "end" FROM g GROUP BY doc_id, item_id, part, island',
     "p2_found": f"{_KEYS} SELECT tbl, keep_id, id AS copy_id FROM (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, k) AS keep_id FROM a) WHERE id > keep_id",
     "p2_groups": f"{_KEYS} SELECT tbl, min(id) AS keep_id, count(*) AS copies FROM a GROUP BY tbl, k",
     "p7_found": f"{_RUNS} SELECT doc_id, item_id FROM found",
