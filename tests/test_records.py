@@ -104,4 +104,4 @@ def test_entry_lists_every_query():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert set(e.oracle_sql()) <= set(names) and "p2_found" in names and "p3_found" in names
+    assert set(e.oracle_sql()) <= set(names) and "claim_report" in names and "tier_one" in names
