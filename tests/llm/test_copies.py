@@ -48,3 +48,10 @@ def test_long_texts(spark, rows):
     long = "word, " * 50_000
     df = spark.createDataFrame([(1, long, "1"), (2, long.upper(), "1"), (3, long + "x", "1")], CLAIMS)
     assert rows(c.table_copies(df, spark.createDataFrame([], RECORDS))) == [("final_health_claims", 1, 2)]
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as e
+
+    names = e.queries()
+    assert {f"p{k}_found" for k in (1, 2, 3, 4, 5, 7, 8)} | {"p6_ids"} <= set(names) and set(e.oracle_sql()) <= set(names)
