@@ -103,3 +103,14 @@ def test_ablation_searches_once_and_only_what_counts(spark, rows, folder, monkey
     asked = _searched(monkeypatch)
     assert rows(QUERIES["ablation"](spark, folder)) == want
     assert asked == [[50, 200, 350]]  # the claims that share two long words with a fact
+
+
+def test_lift_searches_once_and_only_what_counts(spark, folder, monkeypatch):
+    from claimloom.plans.services import QUERIES
+
+    q, gold, cand = R.queries(spark, folder), R.gold(spark, folder), pipeline.candidates(R._claims(spark, folder), R.facts(spark, folder))
+    at = lambda h: metrics.ranking(q, h, gold, (1,))
+    want = metrics.lift(at(cand.withColumnRenamed("rrf_rank", "rank")), at(retrieval.rerank(cand, 10_000))).first()
+    asked = _searched(monkeypatch)
+    assert tuple(QUERIES["rerank_lift"](spark, folder).first()) == tuple(round(x, 4) for x in want)
+    assert asked == [[50, 200, 350]]
